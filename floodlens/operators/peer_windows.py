@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from floodlens.functions.columns import (entropy_bits, has_flag, micros, share, slot_start, spread,
+from floodlens.functions.columns import (entropy_bits, has_flag, share, slot_start, spread,
                                          syn_and_ack, syn_only)
 from floodlens.operators.ordering import ARRIVAL_BITS, arrival_chunk
 from floodlens.operators.packets import direction, with_slot
-from floodlens.schemas import (ACK, FEATURES, FIN, ICMP, INTEGER_FEATURES, PSH, RST, TCP, UDP,
+from floodlens.schemas import (ACK, FEATURES, FIN, ICMP, PSH, RST, TCP, UDP,
                                WINDOW_SECONDS)
 
 # What an exploded row stands for
 PACKET, SPORT, DPORT = 0, 1, 2
+PORT_FEATURES = {"uniq_sport_in", "uniq_dport_in", "sport_entropy_in", "dport_entropy_in"}
+GAP_FEATURES = {"iat_mean_in", "iat_std_in"}
 
 
 def _sums(inbound, outbound):
@@ -84,6 +86,17 @@ def window_level(ports: DataFrame, keys: list[str]) -> DataFrame:
     ).where(F.col("n_in") > 0)
 
 
+def plain_level(keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals per window in one aggregation, for when no port feature is wanted."""
+    inbound = F.col("inbound")
+    counted, summed = _sums(inbound, ~inbound)
+    return keyed.groupBy(*keys).agg(
+        *[F.count_if(cond).alias(name) for name, cond in counted.items()],
+        *[F.coalesce(F.sum(value), F.lit(0)).alias(name) for name, value in summed.items()],
+        F.min(F.when(inbound, F.col("size"))).alias("min_size_in"),
+        F.max(F.when(inbound, F.col("size"))).alias("max_size_in")).where(F.col("n_in") > 0)
+
+
 def gap_parts(inbound: DataFrame, keys: list[str], bits: int = ARRIVAL_BITS) -> DataFrame:
     """First and last inbound arrival and the sum of squared gaps, per window.
 
@@ -104,8 +117,8 @@ def gap_parts(inbound: DataFrame, keys: list[str], bits: int = ARRIVAL_BITS) ->
                  .cast("double").alias("gap_sq")))
 
 
-def feature_columns():
-    """The 26 features from the totals of window_level and gap_parts."""
+def feature_columns(features: list[str] = FEATURES):
+    """Feature expressions over the totals of window_level (or plain_level) and gap_parts."""
     n, gaps = F.col("n_in"), F.col("n_in") - 1
     total = (F.col("last_ts") - F.col("first_ts")).cast("double")
     mean_us = share(total, gaps)
@@ -124,22 +137,27 @@ def feature_columns():
         "iat_mean_in": mean_us / 1e6,
         "iat_std_in": iat_std,
     }
-    return [values[f].alias(f) if f in values else F.col(f).cast("bigint").alias(f) for f in FEATURES]
+    return [values[f].alias(f) if f in values else F.col(f).cast("bigint").alias(f) for f in features]
 
 
 def peer_windows(packets: DataFrame, protected: list[str], window_s: float = WINDOW_SECONDS,
-                 bits: int = ARRIVAL_BITS) -> DataFrame:
+                 bits: int = ARRIVAL_BITS, features: list[str] = FEATURES) -> DataFrame:
     """One row per (session, slot, peer) that sent at least one packet to a protected host.
 
     Late packets are expected to be gone (packets.drop_late) where arrival is disordered.
+    A caller that needs fewer features pays for fewer passes.
     """
     keys = ["session", "slot", "peer"]
     keyed = with_slot(direction(packets, protected), window_s)
-    totals = window_level(port_level(keyed, keys), keys)
-    gaps = gap_parts(keyed.where("inbound"), keys, bits)
-    return totals.join(gaps, keys).select(
+    if any(f in PORT_FEATURES for f in features):
+        totals = window_level(port_level(keyed, keys), keys)
+    else:
+        totals = plain_level(keyed, keys)
+    if any(f in GAP_FEATURES for f in features):
+        totals = totals.join(gap_parts(keyed.where("inbound"), keys, bits), keys)
+    return totals.select(
         "session", slot_start(F.col("slot"), window_s).alias("window_start"),
-        F.col("peer").alias("peer_ip"), *feature_columns())
+        F.col("peer").alias("peer_ip"), *feature_columns(features))
 
 
 def window_ends(packets: DataFrame, window_s: float = WINDOW_SECONDS) -> DataFrame:
@@ -153,6 +171,3 @@ def window_ends(packets: DataFrame, window_s: float = WINDOW_SECONDS) -> DataFra
         "session", slot_start(F.col("slot"), window_s).alias("window_start"),
         (F.coalesce(F.lead("opened").over(order), F.col("final")) / 1e6).alias("closed_at"))
 
-
-__all__ = ["peer_windows", "window_ends", "port_level", "window_level", "gap_parts",
-           "feature_columns", "INTEGER_FEATURES", "micros"]

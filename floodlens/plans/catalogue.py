@@ -1,5 +1,5 @@
 """Imports every plan module so that its queries are registered."""
-from floodlens.plans import windows  # noqa: F401
+from floodlens.plans import detector, labels, windows  # noqa: F401
 from floodlens.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -32,7 +32,8 @@ def packets_from(events: DataFrame, sessions: int = 1) -> DataFrame:
     whole = F.floor("value").cast("int")
     is_error, is_signup = F.col("event_type") == "error", F.col("event_type") == "signup"
     offset = F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US
-    session = F.concat(F.lit("s"), (1 + F.col("event_id") % sessions).cast("string"))
+    # three packets in a row share a session: the direction repeats every three packets
+    session = F.concat(F.lit("s"), (1 + F.floor(F.col("event_id") / 3) % sessions).cast("string"))
     return events.select(
         session.alias("session"),
         F.col("event_id").alias("seq"),
@@ -61,7 +62,7 @@ def attacks(spark: SparkSession) -> DataFrame:
 
 def pk_sql(sessions: int = 1) -> str:
     return f"""pk AS (
-  SELECT 's' || (1 + event_id % {sessions}) AS session, event_id AS seq,
+  SELECT 's' || (1 + (event_id // 3) % {sessions}) AS session, event_id AS seq,
     (epoch_us(ts) - {EPOCH_US}) // {SHRINK} AS ts_us,
     CASE WHEN event_id % 3 <> 0 THEN '10.0.0.' || (10 + user_id % 16) ELSE '{SERVER}' END AS src,
     CASE WHEN event_id % 3 <> 0 THEN '{SERVER}' ELSE '10.0.0.' || (10 + user_id % 16) END AS dst,
@@ -118,7 +119,7 @@ win AS (SELECT b.session, CAST(b.slot AS DOUBLE) AS window_start, b.peer AS peer
     coalesce(sa / nullif(CAST(m AS DOUBLE), 0), 0) AS synack_ratio_out,
     coalesce(ro / nullif(CAST(m AS DOUBLE), 0), 0) AS rst_ratio_out,
     CAST(coalesce(s.u, 0) AS BIGINT) AS uniq_sport_in, CAST(coalesce(d.u, 0) AS BIGINT) AS uniq_dport_in,
-    greatest(coalesce(s.h, 0), 0) AS sport_entropy_in, greatest(coalesce(d.h, 0), 0) AS dport_entropy_in,
+    abs(coalesce(s.h, 0)) AS sport_entropy_in, abs(coalesce(d.h, 0)) AS dport_entropy_in,
     CASE WHEN n > 1 THEN g1 / (n - 1) / 1e6 ELSE CAST(0 AS DOUBLE) END AS iat_mean_in,
     CASE WHEN n > 1 THEN sqrt(greatest(g2 / (n - 1) - (g1 / (n - 1)) * (g1 / (n - 1)), 0)) / 1e6
       ELSE CAST(0 AS DOUBLE) END AS iat_std_in
