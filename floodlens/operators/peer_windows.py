@@ -18,7 +18,7 @@ from floodlens.schemas import (ACK, FEATURES, FIN, ICMP, PSH, RST, TCP, UDP,
                                WINDOW_SECONDS)
 
 # What an exploded row stands for
-PACKET, SPORT, DPORT = 0, 1, 2
+PACKET, SPORT, DPORT, ARRIVAL = 0, 1, 2, 3
 PORT_FEATURES = {"uniq_sport_in", "uniq_dport_in", "sport_entropy_in", "dport_entropy_in"}
 GAP_FEATURES = {"iat_mean_in", "iat_std_in"}
 
@@ -49,15 +49,26 @@ def _sums(inbound, outbound):
     return counted, summed
 
 
-def port_level(keyed: DataFrame, keys: list[str]) -> DataFrame:
-    """First level: per window and (role, port). Expects `inbound` and packet columns."""
-    roles = F.when(F.col("inbound") & (F.col("proto") != ICMP),
-                   F.array(F.lit(PACKET), F.lit(SPORT), F.lit(DPORT))).otherwise(F.array(F.lit(PACKET)))
-    rows = keyed.withColumn("role", F.explode(roles)).withColumn(
-        "port", F.when(F.col("role") == SPORT, F.col("sport")).when(F.col("role") == DPORT, F.col("dport")))
+def port_level(keyed: DataFrame, keys: list, arrival_bits: int | None = None) -> DataFrame:
+    """First level: per window and (role, port). Expects `inbound` and packet columns.
+
+    With `arrival_bits` a fourth role gathers the arrivals of each chunk of the arrival order
+    (at most 2^bits of them), for streams, where rows cannot be ordered by a window.
+    """
+    ported = F.col("inbound") & (F.col("proto") != ICMP)
+    arrival = [F.lit(ARRIVAL)] if arrival_bits is not None else []
+    every = F.when(F.col("inbound"), F.array(F.lit(PACKET), *arrival)).otherwise(F.array(F.lit(PACKET)))
+    roles = F.when(ported, F.array(F.lit(PACKET), F.lit(SPORT), F.lit(DPORT), *arrival)).otherwise(every)
+    port = F.when(F.col("role") == SPORT, F.col("sport")).when(F.col("role") == DPORT, F.col("dport"))
+    extra = []
+    if arrival_bits is not None:
+        port = port.cast("bigint")
+        port = F.when(F.col("role") == ARRIVAL, arrival_chunk(F.col("seq"), arrival_bits)).otherwise(port)
+        extra = [F.array_sort(F.collect_list(F.when(F.col("role") == ARRIVAL, F.struct("seq", "ts_us")))).alias("arrivals")]
+    rows = keyed.withColumn("role", F.explode(roles)).withColumn("port", port)
     itself = F.col("role") == PACKET
     counted, summed = _sums(itself & F.col("inbound"), itself & ~F.col("inbound"))
-    return rows.groupBy(*keys, "role", "port").agg(
+    return rows.groupBy(*keys, "role", "port").agg(*extra,
         F.count("*").alias("c"),
         *[F.count_if(cond).alias(name) for name, cond in counted.items()],
         *[F.sum(value).alias(name) for name, value in summed.items()],
@@ -65,7 +76,7 @@ def port_level(keyed: DataFrame, keys: list[str]) -> DataFrame:
         F.max(F.when(itself & F.col("inbound"), F.col("size"))).alias("max_size_in"))
 
 
-def window_level(ports: DataFrame, keys: list[str]) -> DataFrame:
+def window_level(ports: DataFrame, keys: list, extra: list = ()) -> DataFrame:
     """Second level: totals per window, with distinct ports and the parts of the entropies."""
     counted, summed = _sums(F.lit(True), F.lit(True))
     c = F.col("c").cast("double")
@@ -73,7 +84,7 @@ def window_level(ports: DataFrame, keys: list[str]) -> DataFrame:
     def of(role, value):
         return F.when(F.col("role") == role, value)
 
-    return ports.groupBy(*keys).agg(
+    return ports.groupBy(*keys).agg(*extra,
         *[F.sum(name).alias(name) for name in counted],
         *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in summed],
         F.min("min_size_in").alias("min_size_in"),

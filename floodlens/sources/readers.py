@@ -15,8 +15,8 @@ CAPTURE_COUNTERS = ["captured", "received by filter", "dropped by kernel"]
 # -----------------------------------------------------------------------------------------------
 
 
-def read_sessions(spark: SparkSession, path) -> DataFrame:
-    return spark.read.schema(SESSIONS).option("multiLine", True).json(path)
+def read_sessions(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+    return spark.read.schema(SESSIONS).option("multiLine", multi_line).json(path)
 
 
 def session_hosts(sessions: DataFrame, role: str) -> DataFrame:

@@ -51,8 +51,8 @@ def save_model(model, path: str, features: list[str], window_s: float, labels: d
     """A fitted pipeline with what is needed to use it the same way, and its base training rows."""
     spark = SparkSession.getActiveSession()
     model.write().overwrite().save(f"{path}/model")
-    info = [(features, float(window_s), {int(k): v for k, v in labels.items()}, sessions)]
-    schema = "features array<string>, window double, labels map<int,string>, train_sessions array<string>"
+    info = [(features, float(window_s), {str(k): v for k, v in labels.items()}, sessions)]
+    schema = "features array<string>, window double, labels map<string,string>, train_sessions array<string>"
     spark.createDataFrame(info, schema).coalesce(1).write.mode("overwrite").json(f"{path}/info")
     if base is not None:
         base.write.mode("overwrite").parquet(f"{path}/base")
@@ -61,7 +61,7 @@ def save_model(model, path: str, features: list[str], window_s: float, labels: d
 def load_model(spark: SparkSession, path: str, features: list[str]):
     """(pipeline, info row, base rows or None); refuses a model fitted on other features."""
     from pyspark.ml import PipelineModel
-    schema = "features array<string>, window double, labels map<int,string>, train_sessions array<string>"
+    schema = "features array<string>, window double, labels map<string,string>, train_sessions array<string>"
     info = spark.read.schema(schema).json(f"{path}/info").first()
     if list(info["features"]) != list(features):
         raise ValueError("the model was fitted on other features than the windows hold")
