@@ -1,10 +1,10 @@
 """Per-peer time-window features.
 
-One scan gives all features but the inter-arrival ones: every packet is counted once as
-itself and once per port, so a first aggregation by (window, port) collapses a flood
-before the shuffle and a second one by window finishes distinct ports and entropy.
-Inter-arrival needs arrival order; it reads four columns of inbound packets, grouped by
-(window, arrival chunk), so a hot peer is spread over many tasks.
+Three narrow aggregations share the window key, so their results meet without another shuffle:
+totals (combined before the shuffle, whatever the size of a flood), ports (counted per port
+first, then finished per window) and inter-arrival, which needs arrival order and reads four
+columns of inbound packets grouped by (window, arrival chunk), so a hot peer is many tasks.
+On a stream the same parts are one chain of two aggregations (port_level, window_level).
 """
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,26 +49,24 @@ def _sums(inbound, outbound):
     return counted, summed
 
 
-def port_level(keyed: DataFrame, keys: list, arrival_bits: int | None = None) -> DataFrame:
-    """First level: per window and (role, port). Expects `inbound` and packet columns.
+def port_level(keyed: DataFrame, keys: list, arrival_bits: int) -> DataFrame:
+    """First level on a stream: per window, role and port. Expects `inbound` and packet columns.
 
-    With `arrival_bits` a fourth role gathers the arrivals of each chunk of the arrival order
-    (at most 2^bits of them), for streams, where rows cannot be ordered by a window.
+    A packet counts as itself, once per port, and as an arrival: arrivals are gathered per
+    chunk of the arrival order (at most 2^bits of them), since a stream cannot order rows.
     """
-    ported = F.col("inbound") & (F.col("proto") != ICMP)
-    arrival = [F.lit(ARRIVAL)] if arrival_bits is not None else []
-    every = F.when(F.col("inbound"), F.array(F.lit(PACKET), *arrival)).otherwise(F.array(F.lit(PACKET)))
-    roles = F.when(ported, F.array(F.lit(PACKET), F.lit(SPORT), F.lit(DPORT), *arrival)).otherwise(every)
-    port = F.when(F.col("role") == SPORT, F.col("sport")).when(F.col("role") == DPORT, F.col("dport"))
-    extra = []
-    if arrival_bits is not None:
-        port = port.cast("bigint")
-        port = F.when(F.col("role") == ARRIVAL, arrival_chunk(F.col("seq"), arrival_bits)).otherwise(port)
-        extra = [F.array_sort(F.collect_list(F.when(F.col("role") == ARRIVAL, F.struct("seq", "ts_us")))).alias("arrivals")]
+    roles = F.array(F.lit(PACKET), F.lit(ARRIVAL))
+    roles = F.when(F.col("proto") != ICMP, F.concat(roles, F.array(F.lit(SPORT), F.lit(DPORT)))).otherwise(roles)
+    roles = F.when(F.col("inbound"), roles).otherwise(F.array(F.lit(PACKET)))
+    port = (F.when(F.col("role") == SPORT, F.col("sport").cast("bigint"))
+            .when(F.col("role") == DPORT, F.col("dport").cast("bigint"))
+            .when(F.col("role") == ARRIVAL, arrival_chunk(F.col("seq"), arrival_bits)))
     rows = keyed.withColumn("role", F.explode(roles)).withColumn("port", port)
     itself = F.col("role") == PACKET
     counted, summed = _sums(itself & F.col("inbound"), itself & ~F.col("inbound"))
-    return rows.groupBy(*keys, "role", "port").agg(*extra,
+    arrival = F.when(F.col("role") == ARRIVAL, F.struct("seq", "ts_us"))
+    return rows.groupBy(*keys, "role", "port").agg(
+        F.array_sort(F.collect_list(arrival)).alias("arrivals"),
         F.count("*").alias("c"),
         *[F.count_if(cond).alias(name) for name, cond in counted.items()],
         *[F.sum(value).alias(name) for name, value in summed.items()],
@@ -77,28 +75,19 @@ def port_level(keyed: DataFrame, keys: list, arrival_bits: int | None = None) ->
 
 
 def window_level(ports: DataFrame, keys: list, extra: list = ()) -> DataFrame:
-    """Second level: totals per window, with distinct ports and the parts of the entropies."""
+    """Second level on a stream: totals per window, with distinct ports and the parts of the entropies."""
     counted, summed = _sums(F.lit(True), F.lit(True))
-    c = F.col("c").cast("double")
-
-    def of(role, value):
-        return F.when(F.col("role") == role, value)
-
     return ports.groupBy(*keys).agg(*extra,
         *[F.sum(name).alias(name) for name in counted],
         *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in summed],
         F.min("min_size_in").alias("min_size_in"),
         F.max("max_size_in").alias("max_size_in"),
-        F.count(of(SPORT, F.lit(1))).alias("uniq_sport_in"),
-        F.count(of(DPORT, F.lit(1))).alias("uniq_dport_in"),
-        F.coalesce(F.sum(of(SPORT, F.col("c"))), F.lit(0)).alias("ports_total"),
-        F.coalesce(F.sum(of(SPORT, c * F.log2(c))), F.lit(0.0)).alias("sport_logs"),
-        F.coalesce(F.sum(of(DPORT, c * F.log2(c))), F.lit(0.0)).alias("dport_logs"),
+        *_port_sums(SPORT, DPORT),
     ).where(F.col("n_in") > 0)
 
 
 def plain_level(keyed: DataFrame, keys: list[str]) -> DataFrame:
-    """Totals per window in one aggregation, for when no port feature is wanted."""
+    """Totals per window in one aggregation: sums, counts and extremes."""
     inbound = F.col("inbound")
     counted, summed = _sums(inbound, ~inbound)
     return keyed.groupBy(*keys).agg(
@@ -108,6 +97,28 @@ def plain_level(keyed: DataFrame, keys: list[str]) -> DataFrame:
         F.max(F.when(inbound, F.col("size"))).alias("max_size_in")).where(F.col("n_in") > 0)
 
 
+def _port_sums(role_sport, role_dport):
+    """Distinct ports, their total and sum(c * log2 c), from rows of (role, c)."""
+    c = F.col("c").cast("double")
+
+    def of(role, value):
+        return F.when(F.col("role") == role, value)
+
+    return [F.count(of(role_sport, F.lit(1))).alias("uniq_sport_in"),
+            F.count(of(role_dport, F.lit(1))).alias("uniq_dport_in"),
+            F.coalesce(F.sum(of(role_sport, F.col("c"))), F.lit(0)).alias("ports_total"),
+            F.coalesce(F.sum(of(role_sport, c * F.log2(c))), F.lit(0.0)).alias("sport_logs"),
+            F.coalesce(F.sum(of(role_dport, c * F.log2(c))), F.lit(0.0)).alias("dport_logs")]
+
+
+def port_parts(keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct ports and the parts of the entropies of inbound packets that have ports."""
+    ports = keyed.where(F.col("inbound") & (F.col("proto") != ICMP)).select(
+        *keys, F.posexplode(F.array("sport", "dport")).alias("role", "port"))
+    return (ports.groupBy(*keys, "role", "port").agg(F.count("*").alias("c"))
+            .groupBy(*keys).agg(*_port_sums(0, 1)))
+
+
 def gap_parts(inbound: DataFrame, keys: list[str], bits: int = ARRIVAL_BITS) -> DataFrame:
     """First and last inbound arrival and the sum of squared gaps, per window.
 
@@ -160,10 +171,10 @@ def peer_windows(packets: DataFrame, protected: list[str], window_s: float = WIN
     """
     keys = ["session", "slot", "peer"]
     keyed = with_slot(direction(packets, protected), window_s)
+    totals = plain_level(keyed, keys)
     if any(f in PORT_FEATURES for f in features):
-        totals = window_level(port_level(keyed, keys), keys)
-    else:
-        totals = plain_level(keyed, keys)
+        totals = totals.join(port_parts(keyed, keys), keys, "left").fillna(
+            {"uniq_sport_in": 0, "uniq_dport_in": 0, "ports_total": 0, "sport_logs": 0.0, "dport_logs": 0.0})
     if any(f in GAP_FEATURES for f in features):
         totals = totals.join(gap_parts(keyed.where("inbound"), keys, bits), keys)
     return totals.select(
