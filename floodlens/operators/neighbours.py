@@ -39,23 +39,32 @@ def squared_distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 def nearest_in_block(q, q_ids, r, r_ids, k, skip_self):
-    """(query row, reference row, d2) of the k nearest per query; `r` is sorted by id."""
+    """(query row, reference row, d2) of the k nearest per query; `r` is sorted by id.
+
+    A matrix product gives every distance up to a rounding error; pairs that could be among
+    the k nearest within that error are measured exactly.
+    """
     found = []
     own = pd.Index(r_ids).get_indexer(pd.Index(q_ids)) if skip_self else None
+    rr = (r * r).sum(axis=1)
     for lo in range(0, len(q), QUERY_ROWS):
-        d = squared_distances(q[lo:lo + QUERY_ROWS], r)
+        part = q[lo:lo + QUERY_ROWS]
+        qq = (part * part).sum(axis=1)
+        near = qq[:, None] + rr[None, :] - 2.0 * (part @ r.T)
         if skip_self:
             at = np.nonzero(own[lo:lo + QUERY_ROWS] >= 0)[0]
-            d[at, own[lo + at]] = np.inf
-        kk = min(k, d.shape[1])
-        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        rows, cols = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
-        vals = d[rows, cols]
+            near[at, own[lo + at]] = np.inf
+        kth = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
+        error = 2 * 10.0 ** -DIGITS + 1e-11 * (qq + rr.max())
+        rows, cols = np.nonzero((near <= (kth + 2 * error)[:, None]) & np.isfinite(near))
+        diff = part[rows] - r[cols]
+        vals = np.round((diff * diff).sum(axis=1), DIGITS)
         order = np.lexsort((cols, vals, rows))
         rows, cols, vals = rows[order], cols[order], vals[order]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        keep = rank < k
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
         found.append((rows[keep] + lo, cols[keep], vals[keep]))
+    if not found:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
@@ -96,7 +105,9 @@ def _search_broadcast(queries: DataFrame, rows, k: int, skip_self: bool) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "neighbours"])
 
     schema = T.StructType([*queries.schema.fields, T.StructField("neighbours", NEIGHBOURS)])
-    return queries.mapInArrow(search, schema)
+    # every query costs a pass over the references, so they are spread over all cores first
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return queries.repartition(tasks).mapInArrow(search, schema)
 
 
 def _first_copies(vectors: DataFrame, copies: int) -> DataFrame:

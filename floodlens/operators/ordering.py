@@ -6,12 +6,12 @@ chunks: each chunk is finished on its own, and only one row per chunk is ordered
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from floodlens.operators.sizing import held
-
 ARRIVAL_BITS = 17
 HASH_DIGITS = 3
+MAX_EDGE = 1_000_000
 
 
 def arrival_chunk(seq: Column, bits: int = ARRIVAL_BITS) -> Column:
@@ -97,29 +97,60 @@ def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:
     return at["low"] + (at["high"] - at["low"]) * (rank - low)
 
 
-def smallest_per_group(df: DataFrame, group: list[str], key: str, quota: DataFrame) -> DataFrame:
-    """Keep, for each group, the `quota` rows with the smallest `key` (a unique md5 text).
+def _edges(counts, quotas):
+    """Per group: (prefix holding the last row to keep, rows still wanted in it, rows it holds)."""
+    edges = {}
+    for g, buckets in counts.items():
+        left = quotas[g]
+        for prefix in sorted(buckets):
+            if left <= buckets[prefix]:
+                edges[g] = (prefix, left, buckets[prefix])
+                break
+            left -= buckets[prefix]
+    return edges
+
+
+def smallest_per_group(df: DataFrame, group: list[str], key: str, quota, max_edge: int = MAX_EDGE) -> DataFrame:
+    """Keep, for each group, the rows with the smallest `key` (a unique md5 text).
 
-    The fact table is never shuffled or ranked as a whole: keys are counted by their first
-    digits, the digit bucket where the quota ends is found, and only that bucket is ranked to
-    get the last key to keep. The final step is a filter against one cut-off per group.
-    `quota` holds the group columns and a column `quota`.
+    `quota(sizes)` maps {group values: size} to {group values: rows wanted}. The fact table is
+    never shuffled or ranked as a whole: rows are counted by the first digits of their key, the
+    digits where the quota ends are refined until few rows share them, and only those rows are
+    ranked to get the last key to keep. The result is a filter against one cut-off per group.
     """
-    bucket = F.substring(key, 1, HASH_DIGITS)
-    tagged = df.withColumn("_bucket", bucket)
-    upto = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-    counts = (tagged.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
-              .withColumn("_upto", F.sum("_n").over(upto)))
-    edge = held(counts.join(F.broadcast(quota), group)
-                .where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-                .select(*group, "_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_rest")))
-    ranked = (tagged.join(edge, [*group, "_bucket"])
-              .withColumn("_rank", F.row_number().over(W.partitionBy(*group).orderBy(key)))
-              .where(F.col("_rank") == F.col("_rest"))
-              .select(*group, F.col(key).alias("_last")))
-    # groups with no edge either keep everything (quota >= size) or nothing (quota 0)
-    cut = held(quota.join(ranked, group, "left").select(*group, "quota", "_last"))
-    whole = held(counts.groupBy(*group).agg(F.max("_upto").alias("_size")))
-    kept = df.join(cut, group).join(whole, group)
-    return (kept.where((F.col("quota") >= F.col("_size")) | (F.col(key) <= F.col("_last")))
-            .drop("quota", "_last", "_size"))
+    spark = df.sparkSession
+
+    def count_by(rows, digits):
+        found: dict = {}
+        per = rows.groupBy(*group, F.substring(key, 1, digits).alias("_p")).agg(F.count("*").alias("_n"))
+        for r in per.toLocalIterator():       # at most 16^HASH_DIGITS rows per group
+            found.setdefault(tuple(r[c] for c in group), {})[r["_p"]] = r["_n"]
+        return found
+
+    counts = count_by(df, HASH_DIGITS)
+    sizes = {g: sum(b.values()) for g, b in counts.items()}
+    wanted = {g: min(max(q, 0), sizes[g]) for g, q in quota(sizes).items() if g in sizes}
+    partial = {g: q for g, q in wanted.items() if 0 < q < sizes[g]}
+    edges = _edges({g: counts[g] for g in partial}, partial)
+    names = [df.schema[c] for c in group]
+
+    def at_edge(digits):
+        table = spark.createDataFrame(
+            [(*g, prefix, rest) for g, (prefix, rest, _) in edges.items()],
+            T.StructType([*names, T.StructField("_p", T.StringType()), T.StructField("_rest", T.LongType())]))
+        return df.withColumn("_p", F.substring(key, 1, digits)).join(F.broadcast(table), [*group, "_p"])
+
+    digits = HASH_DIGITS
+    while edges and max(n for _, _, n in edges.values()) > max_edge and digits < 32:
+        finer = count_by(at_edge(digits), digits + HASH_DIGITS)
+        edges = _edges(finer, {g: rest for g, (_, rest, _) in edges.items()})
+        digits += HASH_DIGITS
+    last = {}
+    if edges:
+        rank = F.row_number().over(W.partitionBy(*group).orderBy(key))
+        for r in at_edge(digits).withColumn("_rank", rank).where(F.col("_rank") == F.col("_rest")).collect():
+            last[tuple(r[c] for c in group)] = r[key]
+    kept = [(*g, last.get(g)) for g, q in wanted.items() if q > 0]
+    cut = spark.createDataFrame(kept, T.StructType([*names, T.StructField("_last", T.StringType())]))
+    return (df.join(F.broadcast(cut), group)
+            .where(F.col("_last").isNull() | (F.col(key) <= F.col("_last"))).drop("_last"))

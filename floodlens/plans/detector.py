@@ -15,6 +15,7 @@ from floodlens.plans.packet_view import (ATTACKERS, ATTACKERS_SQL, ATTACKS_SQL,
                                          labelled_sql, packets, pk_sql, rounded_sql, table, win_sql)
 from floodlens.plans.registry import query
 from floodlens.schemas import FEATURES
+from floodlens.session import materialise
 
 WIN = f"WITH RECURSIVE {pk_sql()}, {DIR_SQL}, {win_sql()}"
 KEY = ["session", "slot", "peer_ip"]
@@ -279,8 +280,13 @@ actions AS (SELECT session, peer_ip, event, ts, sc AS score, CAST(w AS BIGINT) A
 DECIDED = f"{WIN}, {SCORED_SQL}, {BLOCKS_SQL}"
 
 
-def actions(spark, sf):
-    return G.block_decisions(scored_windows(spark, sf), 2, BLOCK_S, ["10.0.0.25"])
+def stored_scores(spark, sf):
+    """Scored windows as the table a detector writes; queries that read it more than once start here."""
+    return materialise(scored_windows(spark, sf), "scores")
+
+
+def actions(spark, sf, scored=None):
+    return G.block_decisions(scored_windows(spark, sf) if scored is None else scored, 2, BLOCK_S, ["10.0.0.25"])
 
 
 @query("block_decisions", f"{DECIDED} SELECT * FROM actions WHERE event = 'block'")
@@ -307,9 +313,9 @@ LOG_SQL = f"""log AS (
   UNION ALL SELECT 'start', CAST(min(window_start) - 1 AS DOUBLE), NULL, NULL, NULL, NULL, NULL FROM win)"""
 
 
-def detector_log(spark, sf, acts=None):
-    w = windows(spark, sf, features=["n_in"])
-    acts = (actions(spark, sf) if acts is None else acts).select(
+def detector_log(spark, sf, scored):
+    w = scored.select("window_start")
+    acts = actions(spark, sf, scored).select(
         "event", "ts", F.col("peer_ip").alias("peer"), "score", "windows", "seconds", F.lit(None).cast("int").alias("version"))
     nothing = [F.lit(None).cast("string").alias("peer"), F.lit(None).cast("double").alias("score"),
                F.lit(None).cast("bigint").alias("windows"), F.lit(None).cast("double").alias("seconds")]
@@ -320,7 +326,7 @@ def detector_log(spark, sf, acts=None):
     none = F.lit(None).cast("int").alias("version")
     calibrated = first.select(F.lit("calibrated").alias("event"), F.lit(59.0).alias("ts"), *nothing, none)
     start = first.select(F.lit("start").alias("event"), (F.col("a") - 1).alias("ts"), *nothing, none)
-    return acts.unionByName(retrained).unionByName(calibrated).unionByName(start)
+    return materialise(acts.unionByName(retrained).unionByName(calibrated).unionByName(start), "log")
 
 
 NOW = 200.0
@@ -345,11 +351,11 @@ SELECT peer_ip, window_start, n_in, score, novel, CAST(flagged AS INT) AS flagge
 WHERE window_start >= {NOW - 121} AND window_start <= {NOW - 1}
 QUALIFY row_number() OVER (PARTITION BY peer_ip ORDER BY window_start DESC) = 1""")
 def q_source_state(spark, sf):
-    return D.source_state(score_rows(spark, sf), NOW)
+    return D.source_state(score_rows(scored_windows(spark, sf)), NOW)
 
 
-def score_rows(spark, sf):
-    return scored_windows(spark, sf).select(
+def score_rows(scored):
+    return scored.select(
         "window_start", "peer_ip", "n_in", "score", "novel", F.col("flagged").cast("int").alias("flagged"),
         F.lit(0).alias("model_version"))
 
@@ -364,14 +370,15 @@ SELECT coalesce(s.peer_ip, b.peer_ip) AS peer_ip, s.window_start, CAST(coalesce(
   CAST(coalesce(b.c, 0) AS BIGINT) AS blocks, CAST(greatest(coalesce(b.until, 0) - {NOW}, 0) AS DOUBLE) AS blocked_for
 FROM st s FULL JOIN bl b ON s.peer_ip = b.peer_ip WHERE s.peer_ip IS NOT NULL OR b.until > {NOW}""")
 def q_block_state(spark, sf):
-    return D.sources(score_rows(spark, sf), detector_log(spark, sf), NOW).select(
+    scored = stored_scores(spark, sf)
+    return D.sources(score_rows(scored), detector_log(spark, sf, scored), NOW).select(
         "peer_ip", "window_start", "n_in", "blocks", "blocked_for")
 
 
 @query("event_feed", f"""{DECIDED}, {LOG_SQL}
 SELECT event, ts, peer, windows, version FROM log WHERE ts <= {NOW} ORDER BY ts DESC, peer DESC LIMIT 40""")
 def q_event_feed(spark, sf):
-    return D.event_feed(detector_log(spark, sf), NOW, order="peer").select("event", "ts", "peer", "windows", "version")
+    return D.event_feed(detector_log(spark, sf, stored_scores(spark, sf)), NOW, order="peer").select("event", "ts", "peer", "windows", "version")
 
 
 @query("attack_overlay", f"""WITH {ATTACKS_SQL}
@@ -393,7 +400,8 @@ SELECT CAST((SELECT count(*) FROM scored WHERE window_start <= {{now}} - 1) AS B
 
 @query("totals", TOTALS_SQL.format(now=NOW))
 def q_totals(spark, sf):
-    return D.totals(score_rows(spark, sf), detector_log(spark, sf), NOW)
+    scored = stored_scores(spark, sf)
+    return D.totals(score_rows(scored), detector_log(spark, sf, scored), NOW)
 
 
 CLOCK_SQL = "least((SELECT min(window_start) FROM scored) - 1 + 25 * 4, (SELECT max(window_start) FROM scored) + 2)"
@@ -401,8 +409,9 @@ CLOCK_SQL = "least((SELECT min(window_start) FROM scored) - 1 + 25 * 4, (SELECT
 
 @query("replay_clock", TOTALS_SQL.format(now=f"({CLOCK_SQL})"))
 def q_replay_clock(spark, sf):
-    scores = score_rows(spark, sf)
-    return D.totals(scores, detector_log(spark, sf), D.replay_clock(scores, 25.0, 4.0))
+    scored = stored_scores(spark, sf)
+    scores = score_rows(scored)
+    return D.totals(scores, detector_log(spark, sf, scored), D.replay_clock(scores, 25.0, 4.0))
 
 
 @query("settings", f"""WITH {pk_sql()}, s AS (SELECT session, min(ts_us) / CAST(1000000 AS DOUBLE) AS ts FROM pk GROUP BY session)
@@ -428,9 +437,10 @@ SELECT coalesce(m.minute, p.minute) AS minute, CAST(coalesce(packets, 0) AS BIGI
   (coalesce(m.minute, p.minute) + 1) * 60 >= 59 AS calibrated
 FROM m FULL JOIN p ON m.minute = p.minute""")
 def q_minute_stats(spark, sf):
-    log = detector_log(spark, sf)
+    scored = stored_scores(spark, sf)
+    log = detector_log(spark, sf, scored)
     blocks = log.where("event = 'block'").select(F.col("peer").alias("peer_ip"), "ts", "seconds")
-    return D.minute_stats(scored_windows(spark, sf), packets(spark, sf), blocks,
+    return D.minute_stats(scored, packets(spark, sf), blocks,
                           log.where("event = 'retrained'").select("ts", "version"), 59.0)
 
 
@@ -471,7 +481,7 @@ report AS (SELECT session, round, ip AS attacker, attack, rate, end_ts - start_t
 
 
 def report(spark, sf, acts=None):
-    acts = actions(spark, sf) if acts is None else acts
+    acts = materialise(actions(spark, sf), "actions") if acts is None else acts
     secs = G.attack_seconds(packets(spark, sf), SERVER, attacker_hosts(spark))
     return G.attack_report(attacks(spark), acts.where("event = 'block'"), secs)
 
@@ -544,11 +554,10 @@ SELECT 's1' AS session, CAST(count(*) AS BIGINT) AS attacks,
   CAST((SELECT count(*) FROM log WHERE event = 'error') AS BIGINT) AS detector_errors, CAST(0 AS BIGINT) AS socket_kernel_drops
 FROM report""")
 def q_mitigation_summary(spark, sf):
-    from floodlens.session import materialise
-    acts = materialise(actions(spark, sf), "actions")
-    log = detector_log(spark, sf, acts).withColumn("kernel_drops", F.lit(0).cast("bigint"))
-    out = G.mitigation_summary(report(spark, sf, acts), acts.where("event = 'block'"), attacker_hosts(spark),
-                               scored_windows(spark, sf), client_hosts(spark), log, "s1")
+    scored = stored_scores(spark, sf)
+    log = detector_log(spark, sf, scored).withColumn("kernel_drops", F.lit(0).cast("bigint"))
+    acts = log.where("event = 'block'").withColumn("session", F.lit("s1")).withColumnRenamed("peer", "peer_ip")
+    out = G.mitigation_summary(report(spark, sf, acts), acts, attacker_hosts(spark), scored, client_hosts(spark), log, "s1")
     doubles = [c for c, t in out.dtypes if t == "double"]
     return out.select(*[F.round(c, 6).alias(c) if c in doubles else F.col(c) for c in out.columns])
 

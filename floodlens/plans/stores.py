@@ -5,6 +5,7 @@ from floodlens.operators import views as V
 from floodlens.operators.peer_windows import peer_windows
 from floodlens.plans.detector import scored_windows
 from floodlens.plans.labels import labelled
+from floodlens.plans.metrics import lab3_sql
 from floodlens.plans.packet_view import DIR_SQL, SERVER, packets, pk_sql, rounded, rounded_sql, table, win_sql
 from floodlens.plans.registry import query
 from floodlens.plans.windows import FLOW_DOUBLES, FLOW_SQL
@@ -84,7 +85,8 @@ def q_materialise(spark, sf):
     return w.unionByName(f)
 
 
-@query("dataset_sink", None)
+@query("dataset_sink", f"""{lab3_sql()}
+SELECT session, CAST(label AS INT) AS label, CAST(count(*) AS BIGINT) AS windows, CAST(sum(n_in) AS BIGINT) AS n_in FROM lab GROUP BY ALL""")
 def q_dataset_sink(spark, sf):
     path = shared_dir(spark, "windows")
     K.write_windows(labelled(spark, sf, 3, FEATURES), path)

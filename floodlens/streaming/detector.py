@@ -4,11 +4,12 @@ Everything a batch writes goes to its own folder, so a batch that is run again a
 executor or driver overwrites its own rows. What changes between batches (model version,
 novelty model, times) is small and is rebuilt from the written tables by `resume`.
 """
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodlens.functions.decisions import above, hybrid_flag, scorable
-from floodlens.operators.adaptive import MIN_CALIBRATION, POOL, pseudo_label, recent_pool, retrain_set
+from floodlens.operators.adaptive import CONSECUTIVE, MIN_CALIBRATION, POOL, pseudo_label, recent_pool, retrain_set
 from floodlens.operators.novelty import novelty_fit
 from floodlens.schemas import WINDOW_SECONDS
 from floodlens.streaming.jobs import batch_path, read_batches
@@ -42,7 +43,7 @@ class LiveDetector:
         self.score_rows, self.fit, self.base = score, fit, base
         self.threshold, self.hybrid, self.adaptive = threshold, hybrid, adaptive and hybrid
         self.calibrate_s, self.retrain_s, self.window_s, self.pool = calibrate_s, retrain_s, window_s, pool
-        self.novelty, self.version, self.first, self.next_retrain = None, 0, None, None
+        self.novelty, self.version, self.first, self.next_retrain, self.pool_batch = None, 0, None, None, None
 
     def table(self, name: str) -> DataFrame:
         return read_batches(self.spark, f"{self.folder}/{name}")
@@ -70,8 +71,10 @@ class LiveDetector:
         now = self.spark.read.parquet(batch_path(f"{self.folder}/scored", batch)).agg(F.max("now")).first()[0]
         if now is None:
             return
+        observing = self.novelty is not None
         self._calibrate(batch, now)
-        if self.adaptive and self.novelty is not None:
+        if self.adaptive and observing:
+            self._observe(batch)
             self._retrain(batch, now)
 
     def scores(self) -> DataFrame:
@@ -93,12 +96,26 @@ class LiveDetector:
             self.next_retrain = now + self.retrain_s
             self._log(batch, "calibrated", event="calibrated", ts=now, windows=n, threshold=self.novelty.threshold)
 
+    def _observe(self, batch: int) -> None:
+        """Pseudo-label this batch (looking back only as far as a streak can reach) and keep the
+        latest examples: the pool of a batch is the previous pool and its own examples, capped."""
+        scored = self.table("scored").where("observed")
+        low = scored.where(F.col("batch") == batch).agg(F.min("window_start")).first()[0]
+        if low is None:
+            return
+        reach = scored.where((F.col("window_start") >= low - (CONSECUTIVE - 1) * self.window_s) & (F.col("batch") <= batch))
+        fresh = pseudo_label(reach, "novel", window_s=self.window_s).where((F.col("batch") == batch) & F.col("kind").isNotNull())
+        examples = fresh.select(*KEY, *self.features, "kind")
+        if self.pool_batch is not None:
+            examples = self.spark.read.parquet(batch_path(f"{self.folder}/pool", self.pool_batch)).unionByName(examples)
+        self._write(recent_pool(examples, self.pool), "pool", batch)
+        self.pool_batch = batch
+
     def _retrain(self, batch: int, now: float) -> None:
         if now < self.next_retrain:
             return
         self.next_retrain = now + self.retrain_s
-        seen = pseudo_label(self.table("scored").where("observed"), "novel", window_s=self.window_s)
-        pool = recent_pool(seen.where(F.col("kind").isNotNull()), self.pool)
+        pool = self.spark.read.parquet(batch_path(f"{self.folder}/pool", batch))
         counts = {r["kind"]: r["n"] for r in pool.groupBy("kind").agg(F.count("*").alias("n")).collect()}
         if not counts.get("benign"):
             return
@@ -106,3 +123,30 @@ class LiveDetector:
         self.score_rows, self.version = self.fit(rows), self.version + 1
         self._log(batch, "retrained", event="retrained", ts=now, version=self.version,
                   rows=rows.count(), pseudo_attack=counts.get("attack", 0))
+
+    def resume(self) -> "LiveDetector":
+        """Rebuild what a restarted driver has lost from the written tables: calibration start,
+        novelty model, pool and the current model version."""
+        scored = self._existing("scored")
+        if scored is None:
+            return self
+        self.first = scored.groupBy("batch").agg(F.max("now").alias("now"), F.min("batch").alias("b")).orderBy("b").first()["now"]
+        calibrated, retrained, pool = (self._existing(n) for n in ("calibrated", "retrained", "pool"))
+        if calibrated is not None:
+            done = calibrated.orderBy("batch").first()
+            self.novelty = novelty_fit(scored.where((F.col("batch") <= done["batch"]) & ~F.col("sup")), self.features, KEY)
+            self.next_retrain = done["ts"] + self.retrain_s
+        if pool is not None:
+            self.pool_batch = pool.agg(F.max("batch")).first()[0]
+        if retrained is not None:
+            last = retrained.orderBy(F.desc("version")).first()
+            rows = self.spark.read.parquet(batch_path(f"{self.folder}/pool", last["batch"]))
+            self.score_rows, self.version = self.fit(retrain_set(self.base, rows, self.features)), last["version"]
+            self.next_retrain = last["ts"] + self.retrain_s
+        return self
+
+    def _existing(self, name: str):
+        try:
+            return self.table(name)
+        except AnalysisException:
+            return None

@@ -192,3 +192,6 @@ def test_hybrid_calibrates_flags_novel_and_retrains(spark, tmp_path):
     d.process(spark.createDataFrame([calm(t, 2) for t in range(13, 17)], WINDOWS), 3)
     events = [(r["event"], r["version"], r["pseudo_attack"]) for name in ("calibrated", "retrained") for r in d.table(name).collect()]
     assert events == [("calibrated", None, None), ("retrained", 1, 3)] and d.version == 1 and len(fitted) == 1
+    again = LiveDetector(spark, str(tmp_path), LIVE, rule, fit, base, hybrid=True, calibrate_s=5.0, adaptive=True, retrain_s=6.0).resume()
+    assert again.version == 1 and again.novelty.threshold == pytest.approx(d.novelty.threshold)
+    assert (again.first, again.next_retrain, again.pool_batch) == (d.first, d.next_retrain, d.pool_batch)

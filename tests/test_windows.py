@@ -181,9 +181,8 @@ def test_ordered_helpers(spark):
     sums = {r["v"]: r["upto"] for r in running_sums(df, [], "v", {"c": "upto"}).collect()}
     assert sums[0.0] == 1 and sums[99.0] == 100 and sums[41.0] == 42
     keyed = df.withColumn("k", F.md5(F.col("v").cast("string"))).withColumn("g", (F.col("v") % 2).cast("int"))
-    quota = spark.createDataFrame([(0, 7), (1, 0)], "g int, quota bigint")
-    got = [r["k"] for r in smallest_per_group(keyed, ["g"], "k", quota).collect()]
     want = sorted(r["k"] for r in keyed.where("g = 0").collect())[:7]
-    assert sorted(got) == want
-    everything = spark.createDataFrame([(0, 50), (1, 99)], "g int, quota bigint")
-    assert smallest_per_group(keyed, ["g"], "k", everything).count() == 100
+    for max_edge in (1, 1_000_000):      # with and without refining the edge
+        got = [r["k"] for r in smallest_per_group(keyed, ["g"], "k", lambda sizes: {(0,): 7, (1,): 0}, max_edge).collect()]
+        assert sorted(got) == want
+    assert smallest_per_group(keyed, ["g"], "k", lambda sizes: {(0,): 50, (1,): 99}).count() == 100
