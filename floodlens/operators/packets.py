@@ -10,10 +10,10 @@ from floodlens.schemas import WINDOW_SECONDS
 def direction(packets: DataFrame, protected: list[str]) -> DataFrame:
     """Keep traffic between protected hosts and others; add `inbound`, `peer` and `server`."""
     inbound = is_inbound(protected)
-    return (packets.where(inbound | is_outbound(protected))
-            .withColumn("inbound", inbound)
-            .withColumn("peer", F.when(inbound, F.col("src")).otherwise(F.col("dst")))
-            .withColumn("server", F.when(inbound, F.col("dst")).otherwise(F.col("src"))))
+    return packets.where(inbound | is_outbound(protected)).withColumns({
+        "inbound": inbound,
+        "peer": F.when(inbound, F.col("src")).otherwise(F.col("dst")),
+        "server": F.when(inbound, F.col("dst")).otherwise(F.col("src"))})
 
 
 def with_slot(packets: DataFrame, window_s: float = WINDOW_SECONDS) -> DataFrame:

@@ -19,6 +19,7 @@ from floodlens.schemas import (ACK, FEATURES, FIN, ICMP, PSH, RST, TCP, UDP,
 
 # What an exploded row stands for
 PACKET, SPORT, DPORT, ARRIVAL = 0, 1, 2, 3
+MAX_WINDOW_SECONDS = 3000
 PORT_FEATURES = {"uniq_sport_in", "uniq_dport_in", "sport_entropy_in", "dport_entropy_in"}
 GAP_FEATURES = {"iat_mean_in", "iat_std_in"}
 
@@ -169,6 +170,8 @@ def peer_windows(packets: DataFrame, protected: list[str], window_s: float = WIN
     Late packets are expected to be gone (packets.drop_late) where arrival is disordered.
     A caller that needs fewer features pays for fewer passes.
     """
+    if window_s > MAX_WINDOW_SECONDS:
+        raise ValueError(f"windows of more than {MAX_WINDOW_SECONDS} s: squared gaps would not fit 64 bits")
     keys = ["session", "slot", "peer"]
     keyed = with_slot(direction(packets, protected), window_s)
     totals = plain_level(keyed, keys)

@@ -13,6 +13,9 @@ from floodlens.plans.packet_view import (ATTACKERS, ATTACKS_SQL, DIR_SQL, ROUNDS
 from floodlens.plans.registry import query
 from floodlens.plans.windows import ENC_SQL, FLOW_SQL, FLOWS_OUT_SQL, flows_out
 from floodlens.schemas import ATTACKS, FEATURES, LABEL_NAMES, WINDOW_COLUMNS
+from floodlens.session import shared_dir
+from floodlens.sources.readers import catalog_attacks
+from floodlens.sources.sinks import sequence_quality, write_sequences
 
 SHORT = ["n_in", "n_out", "bytes_in", "icmp_ratio_in", "udp_ratio_in", "mean_size_in"]
 LAB = f"WITH {pk_sql()}, {DIR_SQL}, {win_sql()}, {labelled_sql()}"
@@ -135,7 +138,6 @@ CATALOG_HOST = "10.0.0.14"
 
 
 def catalog_schedule(spark, session="s1", host=CATALOG_HOST, rows=CATALOG, offset=-3):
-    from floodlens.sources.readers import catalog_attacks
     return catalog_attacks(spark, session, host, offset, rows)
 
 
@@ -197,19 +199,29 @@ def q_catalog_epoch(spark, sf):
 
 # --- Joins on keys and whole vectors ------------------------------------------------------
 
-@query("attach_sequences", f"""{LAB}, {ENC_SQL}
+SEQUENCE_SQL = f"""{LAB}, {ENC_SQL}
 SELECT CAST(l.label AS INT) AS label, CAST(count(*) AS BIGINT) AS windows,
   CAST(median(s.length) AS DOUBLE) AS median_length,
   round(avg(CASE WHEN s.length = 32 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS full_share
 FROM lab l JOIN (SELECT session, window_start, peer_ip, count(*) AS length FROM enc GROUP BY ALL) s
-  USING (session, window_start, peer_ip) GROUP BY l.label""")
+  USING (session, window_start, peer_ip) GROUP BY l.label"""
+
+
+@query("attach_sequences", SEQUENCE_SQL)
 def q_attach_sequences(spark, sf):
     w = labelled(spark, sf, features=["n_in"])
     s = V.sequence_view(packets(spark, sf), [SERVER])
-    from floodlens.sources.sinks import sequence_quality
     return sequence_quality(L.attach_sequences(w, s), ["label"])
 
 
+@query("sequence_sink", SEQUENCE_SQL)
+def q_sequence_sink(spark, sf):
+    """Written row-aligned with the labelled windows and read back."""
+    path = shared_dir(spark, "sequences")
+    write_sequences(labelled(spark, sf, features=["n_in"]), V.sequence_view(packets(spark, sf), [SERVER]), path)
+    return sequence_quality(spark.read.parquet(path), ["label"])
+
+
 OVERLAP_COLS = ["n_in", "n_out", "bytes_in", "min_size_in", "max_size_in", "uniq_sport_in"]
 
 

@@ -2,6 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from floodlens.operators.labeling import attach_sequences
 from floodlens.schemas import FLOW_COLUMNS, SEQUENCE_LENGTH, WINDOW_COLUMNS
 
 
@@ -40,6 +41,13 @@ def sequence_quality(sequences: DataFrame, by: list[str] = ()) -> DataFrame:
         F.round(F.avg(full), 9).alias("full_share"))
 
 
+def write_sequences(windows: DataFrame, sequences: DataFrame, path: str) -> None:
+    """The sequence of every labelled window; a window without one fails the write."""
+    rows = attach_sequences(windows, sequences)
+    rows.select("session", "round", "window_start", "peer_ip", "seq", "length", "label").write.mode(
+        "overwrite").partitionBy("session").parquet(path)
+
+
 def write_report(table: DataFrame, path: str, digits: int = 2) -> None:
     """A result table as one CSV with a header; doubles are rounded here and nowhere before."""
     rounded = [F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in table.dtypes]
