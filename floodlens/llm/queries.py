@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from floodlens.llm import mixing, quality, shards, simhash
+from floodlens.llm import language, mixing, quality, shards, simhash, winnow
 from floodlens.llm.common import table
 
 
@@ -11,10 +11,22 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold 2 of crc32(doc_id) modulo 4 is held out; the models learn from the others."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
+    found = language.identify_languages(docs, fold != 2)
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_shares(table(spark, sf_dir, "documents"))
 
@@ -23,5 +35,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op5_sharding, op9_source_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_document_fingerprints, op5_sharding, op8_language_id, op9_source_mixing, op10_quality_rules)}
 SQL = {"op9_source_mixing": mixing.SHARES_SQL}
