@@ -21,12 +21,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNIGRAM, BPE = 1, 2, 3, 4, 6, 1, 2
 #: Chunks whose encoding a Python worker remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _START = -1
 
 
@@ -66,7 +66,7 @@ class PieceModel:
 
     def forget(self):
         self.place: dict[str, int] = {}
-        self.flat, self.starts, self.counts = [], [], []
+        self.flat, self.starts, self.counts = (np.zeros(0, np.int64) for _ in range(3))
 
     # merging -----------------------------------------------------------------------------------------------------
     def _merged(self, text: str) -> list[str]:
@@ -82,14 +82,12 @@ class PieceModel:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands(self, first: int, second: int) -> bool:
-        """Whether merging the two pieces' text gives the two again (first may be the start)."""
-        key = (first + 1 << 32) | second
-        known = self.stand.get(key)
-        if known is None:
-            pair = [self.named[second]] if first == _START else [self.named[first], self.named[second]]
-            known = self.stand[key] = self._merged("".join(pair)) == pair
-        return known
+    def stands(self, pair: int) -> bool:
+        """Whether merging two pieces' text gives the two again; the pair holds (first + 1, or 0 for the start) and second."""
+        first, second = (pair >> 32) - 1, pair & 0xFFFFFFFF
+        names = [self.named[second]] if first == _START else [self.named[first], self.named[second]]
+        self.stand[pair] = self._merged("".join(names)) == names
+        return self.stand[pair]
 
     # matching ----------------------------------------------------------------------------------------------------
     def _suffixes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,18 +97,22 @@ class PieceModel:
         eight = np.zeros(n + 8 * self.width, np.uint64)
         for i in range(8):
             eight = (eight << np.uint64(8)) | padded[i:i + len(eight)]
-        order = np.argsort(eight[:n], kind="stable")
-        reach, key = 8, eight[:n]
-        while reach < 8 * self.width:
-            ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-            if n == 0 or rank[order[-1]] == n - 1:
+        order = np.argsort(eight[:n])
+        rank, slots, keys, reach = np.empty(n, np.int64), np.arange(n), eight[:n][order], 8
+        while True:  # only suffixes that still tie are sorted again, inside the slots they fill
+            first = np.concatenate([[True], keys[1:] != keys[:-1]])
+            group = slots[np.maximum.accumulate(np.where(first, np.arange(len(slots)), 0))] if n else slots
+            rank[order[slots]] = group
+            tied = ~first
+            tied[:-1] |= ~first[1:]
+            slots = slots[tied]
+            if reach >= 8 * self.width or not len(slots):
                 break
-            ahead = np.concatenate([rank[reach:] + 1, np.zeros(min(reach, n), np.int64)])
-            key = rank * (n + 1) + ahead
-            order = np.argsort(key, kind="stable")
-            reach *= 2
+            own = order[slots]
+            ahead = np.where(own + reach < n, rank[np.minimum(own + reach, n - 1)] + 1, 0)
+            keys = rank[own] * (n + 1) + ahead
+            sort = np.argsort(keys)
+            order[slots], keys, reach = own[sort], keys[sort], 2 * reach
         return eight, order
 
     def _ranges(self, eight: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,24 +149,45 @@ class PieceModel:
         start = order[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
         end, piece = start + np.repeat(self.length, n), np.repeat(self.piece, n)
         start, end, piece = (np.concatenate(x) for x in zip((start, end, piece), self._strangers(data, start, end)))
-        by_start = np.argsort(start, kind="stable")
-        last = self._relaxed(len(data), begins, start[by_start], end[by_start], piece[by_start])
-        known = len(self.text)
-        for chunk, begin, at in zip(chunks, begins.tolist(), (begins + sizes).tolist()):
-            found = []
-            while at > begin:
-                at, p = last[at]
-                if p < known:
-                    found.append(p)
-                elif self.bytes:
-                    found.extend(self.bytes[b] for b in reversed(self.named[p].encode()))
-                else:
-                    found.append(self.unknown)
-            found.reverse()
-            self.place[chunk] = len(self.starts)
-            self.starts.append(len(self.flat))
-            self.counts.append(len(found))
-            self.flat.extend(found)
+        offset = np.arange(len(data)) - np.append(np.repeat(begins, sizes + 1), len(data))
+        by_offset = np.argsort(offset[start])
+        last_start, last_piece = self._relaxed(len(data), begins, offset[start[by_offset]], start[by_offset], end[by_offset], piece[by_offset])
+        flat, counts = self._traced(begins, begins + sizes, last_start, last_piece)
+        self.place.update(zip(chunks, range(len(self.counts), len(self.counts) + len(chunks))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _traced(self, begins, at, last_start, last_piece) -> tuple[np.ndarray, np.ndarray]:
+        """All chunks' ids in a row, followed back from their ends, and how many each has."""
+        owners, ranks, found = [], [], []
+        chunk, step = np.flatnonzero(at > begins), 0
+        at = at.copy()
+        while len(chunk):
+            here = last_piece[at[chunk]]
+            owners.append(chunk)
+            ranks.append(np.full(len(chunk), -step))
+            found.append(here)
+            at[chunk] = last_start[at[chunk]]
+            chunk, step = chunk[at[chunk] > begins[chunk]], step + 1
+        if not owners:
+            return np.zeros(0, np.int64), np.zeros(len(begins), np.int64)
+        owner, rank, found = map(np.concatenate, (owners, ranks, found))
+        order = np.lexsort((rank, owner))
+        owner, found = owner[order], found[order]
+        if (strange := found >= len(self.text)).any():
+            spelled = {p: [self.bytes[b] for b in self.named[p].encode()] if self.bytes else [self.unknown]
+                       for p in np.unique(found[strange]).tolist()}
+            n = np.ones(len(found), np.int64)
+            n[strange] = [len(spelled[p]) for p in found[strange].tolist()]
+            where = np.repeat(strange, n)
+            owner, found = np.repeat(owner, n), np.repeat(found, n)
+            found[where] = np.concatenate([spelled[p] for p in self._runs(found[where], n[strange])])
+        return found, np.bincount(owner, minlength=len(begins))
+
+    @staticmethod
+    def _runs(values: np.ndarray, sizes: np.ndarray) -> list[int]:
+        return values[np.cumsum(sizes) - sizes].tolist()
 
     def _strangers(self, data, start, end):
         """Edges for characters that no piece of one character spells."""
@@ -185,30 +208,32 @@ class PieceModel:
             names.append(self.strange[c])
         return rest, rest + mark[rest], np.array(names, np.int64)
 
-    def _relaxed(self, size, begins, start, end, piece):
-        """The last edge (start, piece) of the path to every position that one reaches."""
-        last: list = [None] * (size + 1)
-        steps = zip(start.tolist(), end.tolist(), piece.tolist())
-        if self.bpe:
-            for b in begins.tolist():
-                last[b] = (b, _START)
-            stand, stands = self.stand, self.stands
-            for s, e, p in steps:
-                if (before := last[s]) is not None and last[e] is None:
-                    ok = stand.get((before[1] + 1 << 32) | p)
-                    if ok if ok is not None else stands(before[1], p):
-                        last[e] = (s, p)
-            return last
-        best: list = [None] * (size + 1)
-        for b in begins.tolist():
-            best[b] = 0.0
-        strange = min(self.score) - 10.0
-        for s, e, p in steps:
-            if best[s] is not None:
-                total = best[s] + (self.score[p] if p < len(self.text) else strange)
-                if best[e] is None or total >= best[e]:
-                    best[e], last[e] = total, (s, p)
-        return last
+    def _relaxed(self, size, begins, offset, start, end, piece):
+        """The last edge (start, piece) of the path to every position that one reaches.
+
+        Edges that start equally far into their chunks are relaxed together: no two of them share an end, and all
+        edges into their starts have been relaxed before.
+        """
+        last_start, last_piece = np.zeros(size + 1, np.int64), np.full(size + 1, _START - 1)
+        last_piece[begins] = _START
+        best = np.full(size + 1, -np.inf)
+        best[begins] = 0.0
+        score = np.array(self.score + [min(self.score) - 10.0] * (len(self.named) - len(self.text)))
+        bounds = np.searchsorted(offset, np.arange((offset[-1] if len(offset) else -1) + 2)).tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            s, e, p = start[a:b], end[a:b], piece[a:b]
+            reached = np.flatnonzero(last_piece[s] >= _START)
+            s, e, p = s[reached], e[reached], p[reached]
+            if self.bpe:
+                pairs, where = np.unique((last_piece[s] + 1 << 32) | p, return_inverse=True)
+                known = self.stand
+                good = np.array([x if (x := known.get(k)) is not None else self.stands(k) for k in pairs.tolist()], bool)[where]
+            else:
+                total = best[s] + score[p]
+                good = total >= best[e]
+                best[e[good]] = total[good]
+            last_start[e[good]], last_piece[e[good]] = s[good], p[good]
+        return last_start, last_piece
 
     # whole texts -------------------------------------------------------------------------------------------------
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -224,10 +249,9 @@ class PieceModel:
         fresh = [c for c in dict.fromkeys(chunks) if c not in self.place]
         if fresh:
             self.learn(fresh)
-            self.arrays = tuple(np.array(x, np.int64) for x in (self.flat, self.starts, self.counts))
         if not chunks:
             return np.zeros(0, np.int32), np.zeros(len(ends), np.int64)
-        flat, starts, counts = self.arrays
+        flat, starts, counts = self.flat, self.starts, self.counts
         at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
         n = counts[at]
         total = np.concatenate([[0], np.cumsum(n)])
@@ -254,11 +278,11 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_texts(docs: DataFrame, model: bytes, rows: int = 2000) -> DataFrame:
+def encode_texts(docs: DataFrame, model: bytes, rows: int = 4000) -> DataFrame:
     """`docs` with token_ids (array of int) and n_tokens; `model` holds the bytes of a model file."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a model file: its size is fixed
     kept = docs.drop("token_ids", "n_tokens")
-    schema = StructType(kept.schema.fields).add("token_ids", ArrayType(IntegerType(), False)).add("n_tokens", LongType())
+    schema = StructType([*kept.schema.fields, StructField("token_ids", ArrayType(IntegerType(), False)), StructField("n_tokens", LongType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(shared.value)
