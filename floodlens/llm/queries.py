@@ -1,16 +1,29 @@
 """One registered query for each corpus operator, over its whole table, with the SQL where SQL can state it."""
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from floodlens.llm import language, mixing, quality, shards, simhash, winnow
+from floodlens.llm import language, licences, line_runs, mixing, pieces, quality, shards, simhash, toxicity, winnow
 from floodlens.llm.common import table
 
+#: The vocabulary file of the token operators; a parameter of theirs.
+PIECES = os.environ.get("FLOODLENS_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_and_decode(table(spark, sf_dir, "documents"), pieces.read_model(PIECES))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.repeated_line_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -19,6 +32,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, chain).drop("text")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold 2 of crc32(doc_id) modulo 4 is held out; the models learn from the others."""
     docs = table(spark, sf_dir, "documents")
@@ -35,5 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_document_fingerprints, op5_sharding, op8_language_id, op9_source_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash_near_dedup, op2_sentencepiece, op3_line_dedup, op4_document_fingerprints, op5_sharding, op6_toxicity,
+    op7_license_scan, op8_language_id, op9_source_mixing, op10_quality_rules)}
 SQL = {"op9_source_mixing": mixing.SHARES_SQL}
