@@ -1,8 +1,8 @@
 """License scans by conditional compression.
 
 Blocks of lines around license wording are compressed alone and with each template as a raw zstandard dictionary. The
-templates are ranked by how much smaller they make the block, and the best are confirmed by their exact wording
-differences: words of the template that the block lacks, and words that stand between those it has.
+templates are ranked by how much smaller they make the block, and the first of them that its exact wording confirms is
+the finding. The differences are: words of the template that the block lacks, and words that stand between those it has.
 
 Nulls, empties, ties: null and empty texts have no findings; equal reductions go to the template first in the list;
 blocks do not overlap, and a line is the start of one finding at most; repeated rows are scanned each. Very long texts
@@ -49,7 +49,7 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 }
 TRIGGER = r"(?i)licen[sc]|permission is hereby|redistribut|source code form|free software"
-MOST_DIFFERENCES, MIN_SAVING, CONFIRMED = 0.15, 0.25, 3
+MOST_DIFFERENCES, MIN_SAVING = 0.15, 0.25
 _trigger, _token = re.compile(TRIGGER), re.compile(r"\w+(?:[.\-]\w+)*")
 
 
@@ -79,13 +79,13 @@ class Scanner:
             end += 1
         return end
 
-    def differences(self, block: list[str], words: list[str]) -> tuple[int, int, int]:
-        """(missing, inserted, first): template words the block lacks, words between those it has, where it begins."""
+    def differences(self, block: list[str], words: list[str]) -> tuple[int, int]:
+        """(missing, inserted): template words that the block lacks, and words that stand between those it has."""
         same = [m for m in SequenceMatcher(None, block, words, False).get_matching_blocks() if m.size]
         if not same:
-            return len(words), 0, 0
+            return len(words), 0
         shared = sum(m.size for m in same)
-        return len(words) - shared, same[-1].a + same[-1].size - same[0].a - shared, same[0].a
+        return len(words) - shared, same[-1].a + same[-1].size - same[0].a - shared
 
     def scan(self, text: str | None) -> list[tuple]:
         """(license, first line, last line, saving, missing, inserted), by line."""
@@ -111,18 +111,15 @@ class Scanner:
                 if not data:
                     continue
                 before = len(self.alone.compress(data))
-                saving = 1 - len(compressor.compress(data)) / before
-                if saving >= self.min_saving:
-                    ranked.append((-saving, order, name, words, block, n))
-            found = []
-            for saving, order, name, words, block, n in sorted(ranked, key=lambda r: r[:2])[:CONFIRMED]:
-                missing, inserted, _ = self.differences(block, words)
+                saved = before - len(compressor.compress(data))
+                if saved >= self.min_saving * before:
+                    ranked.append((-saved, order, name, words, block, n, saved / before))
+            for _, _, name, words, block, n, saving in sorted(ranked, key=lambda r: r[:2]):
+                missing, inserted = self.differences(block, words)
                 if missing + inserted <= self.most * len(words):
-                    found.append((missing + inserted, -len(words), order, name, n, -saving, missing, inserted))
-            if found:
-                _, _, _, name, n, saving, missing, inserted = min(found, key=lambda f: (f[0] / -f[1], f[1], f[2]))
-                out.append((name, at, at + n - 1, round(saving, 6), missing, inserted))
-                done = at + n - 1
+                    out.append((name, at, at + n - 1, round(saving, 6), missing, inserted))
+                    done = at + n - 1
+                    break
         return out
 
 

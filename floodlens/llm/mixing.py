@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from floodlens.llm.common import with_ordinal, word_count
+from floodlens.llm.common import SPACE, WORD, with_ordinal, word_count
 from floodlens.session import materialise
 
 #: Rows wanted under one digest prefix of a source's shuffled order.
@@ -105,7 +105,8 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats
     mixed = twins.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
                        & (F.col("__n") == F.col("__size")))
     mixed = mixed.select("*", F.posexplode("__copies").alias("__at", "__c")).where(F.col("__at") % F.col("__twins") == F.col("__twin"))
-    cut = F.regexp_extract("text", F.concat(F.lit(r"(?s)^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("__c.__taken"), F.lit("}")), 0)
+    spaced = F.regexp_extract_all("text", F.lit(f"{SPACE}*{WORD}"), F.lit(0))
+    cut = F.array_join(F.slice(spaced, F.lit(1), F.col("__c.__taken").cast("int")), "")
     mixed = mixed.withColumn("text", F.when(F.col("__c.__taken") < F.col("__n"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.when(F.col("__c.__taken") < F.col("__n"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -79,7 +79,7 @@ class Ring:
         Two second segments one bit apart differ in parity, so one side alone has to probe.
         """
         out = []
-        for i in range(self.m if self.m > 1 else 0):
+        for i in range(self.m):
             first, second = self.segment(i, fp), self.segment(i + 1, fp)
             key = F.lit(i << 56) + first * F.lit(1 << 28) + second
             out.append(F.struct(key.alias("k"), F.lit(False).alias("probe")))
@@ -140,6 +140,8 @@ def fingerprint_links(fingerprints: DataFrame, max_bits: int = 4, key_rows: int
     Within a group of equal keys only a spanning forest of its near pairs is returned. Keys with more than
     `key_rows` fingerprints are spread over pairs of blocks, so that no group outgrows a task and no pair is lost.
     """
+    if not max_bits:
+        return fingerprints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     ring = Ring(max_bits)
     keyed = fingerprints.select("fp", F.explode(ring.keys(F.col("fp"))).alias("x")).select("x.k", "fp", "x.probe")
     crowded = materialise(keyed.where("not probe").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > key_rows), "crowded")
