@@ -34,7 +34,7 @@ def label_windows(windows: DataFrame, attacks: DataFrame, window_s: float = WIND
     bucketed = windows.withColumn("bucket", F.floor(F.col("window_start") / span))
     touches = (F.col("window_start") > F.col("low")) & (F.col("window_start") < F.col("high"))
     winner = F.struct("ev_order", "label", "attack_rate")
-    if fits(attacks, max_schedule):
+    if fits(schedule, max_schedule):      # counted as it is sent: one row per attack and bucket
         lists = schedule.groupBy("session", "peer_ip", "bucket").agg(
             F.collect_list(F.struct("ev_order", "label", "attack_rate", "low", "high")).alias("events"))
         found = F.filter("events", lambda e: (F.col("window_start") > e["low"]) & (F.col("window_start") < e["high"]))

@@ -26,7 +26,7 @@ BOOST_ROUNDS = 100
 BOOST_STEP = 0.1
 THRESHOLD = 0.5
 
-MAX_DEPTH = 15
+MAX_DEPTH = 30
 MAX_BINS = 255
 
 

@@ -207,9 +207,12 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool = False
             max_broadcast: int = BROADCAST_ROWS, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add `neighbours`, the k nearest references in order of (distance, id).
 
-    `queries` holds qid (string) and vec; `refs` holds rid (string), vec and label. With
-    `skip_self` a reference is not its own neighbour (rid = qid).
+    `queries` holds vec, `refs` holds rid (string), vec and label. With `skip_self` the queries also
+    hold qid (string), and a reference is not its own neighbour (rid = qid); without it every query
+    is named by its vector here, so the result does not depend on the path taken.
     """
+    if not skip_self:
+        queries = queries.withColumn("qid", F.md5(F.to_json("vec")))
     refs = refs.select("rid", "vec", F.col("label").cast("int").alias("label"))
     rows = refs.limit(max_broadcast + 1).collect()
     if len(rows) <= max_broadcast:
@@ -237,6 +240,6 @@ def knn_classify(test: DataFrame, train: DataFrame, features: list[str], key: li
     scaler = fit_scaler(train, features)
     name = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
     refs = train.select(name.alias("rid"), scaler.vector().alias("vec"), F.col(label).alias("label"))
-    queries = test.withColumn("qid", name).withColumn("vec", scaler.vector())
+    queries = test.withColumn("vec", scaler.vector())
     return (nearest(queries, refs, k, **options).withColumn("p", vote().cast("int"))
             .drop("qid", "vec", "neighbours"))

@@ -32,9 +32,7 @@ class Novelty:
 
     def score(self, windows: DataFrame) -> DataFrame:
         """Add `novelty`: mean distance to the k nearest calibration rows."""
-        queries = windows.withColumn("qid", F.lit("")).withColumn("vec", self.scaler.vector(log_size))
-        if self.options.get("max_broadcast") == 0:
-            queries = queries.withColumn("qid", F.md5(F.to_json("vec")))
+        queries = windows.withColumn("vec", self.scaler.vector(log_size))
         found = nearest(queries, self.refs, self.k, **self.options)
         return found.withColumn("novelty", mean_distance()).drop("qid", "vec", "neighbours")
 

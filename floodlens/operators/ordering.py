@@ -145,12 +145,25 @@ def smallest_per_group(df: DataFrame, group: list[str], key: str, quota, max_edg
         finer = count_by(at_edge(digits), digits + HASH_DIGITS)
         edges = _edges(finer, {g: rest for g, (_, rest, _) in edges.items()})
         digits += HASH_DIGITS
-    last = {}
+    last, spare = {}, []
     if edges:
-        rank = F.row_number().over(W.partitionBy(*group).orderBy(key))
-        for r in at_edge(digits).withColumn("_rank", rank).where(F.col("_rank") == F.col("_rest")).collect():
-            last[tuple(r[c] for c in group)] = r[key]
+        own = W.partitionBy(*group).orderBy(key)
+        edge = at_edge(digits).withColumns({
+            "_rank": F.row_number().over(own), "_first": F.rank().over(own),
+            "_same": F.count("*").over(W.partitionBy(*group, key))})
+        for r in edge.where(F.col("_rank") == F.col("_rest")).collect():
+            g = tuple(r[c] for c in group)
+            last[g] = r[key]
+            if (keep := r["_rest"] - r["_first"] + 1) < r["_same"]:
+                spare.append((*g, r[key], keep))
     kept = [(*g, last.get(g)) for g, q in wanted.items() if q > 0]
     cut = spark.createDataFrame(kept, T.StructType([*names, T.StructField("_last", T.StringType())]))
-    return (df.join(F.broadcast(cut), group)
-            .where(F.col("_last").isNull() | (F.col(key) <= F.col("_last"))).drop("_last"))
+    out = (df.join(F.broadcast(cut), group)
+           .where(F.col("_last").isNull() | (F.col(key) <= F.col("_last"))).drop("_last"))
+    if not spare:
+        return out
+    # keys that repeat across the cut: only as many of their rows as the quota leaves, by their other values
+    ties = spark.createDataFrame(spare, T.StructType([*names, df.schema[key], T.StructField("_keep", T.LongType())]))
+    place = F.row_number().over(W.partitionBy(*group, key).orderBy(F.xxhash64(*[c for c in df.columns if c != key])))
+    some = df.join(F.broadcast(ties), [*group, key]).withColumn("_at", place).where(F.col("_at") <= F.col("_keep"))
+    return out.join(F.broadcast(ties), [*group, key], "left_anti").unionByName(some.drop("_at", "_keep").select(*out.columns))

@@ -344,9 +344,10 @@ def q_class_weights(spark, sf):
     return R.class_weights(labelled(spark, sf, features=["n_in"])).withColumn("weight", F.round("weight", 9))
 
 
-SETTINGS = R.training_settings(["s1", "s2", "s3"])
-SETTINGS_SQL = "settings AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{k}', '{s}')" for k, v in SETTINGS.items() for s in v) + ") t(trained_on, session))"
+SETTINGS_SQL = """names AS (SELECT DISTINCT session FROM win), settings AS (
+SELECT session || ' only' AS trained_on, session FROM names
+UNION ALL SELECT 'all but ' || a.session, b.session FROM names a JOIN names b ON a.session <> b.session
+UNION ALL SELECT 'all datasets', session FROM names)"""
 
 
 @query("training_grid", f"""WITH {pk_sql(3)}, {DIR_SQL}, {win_sql()}, {SETTINGS_SQL},
@@ -355,10 +356,8 @@ SELECT trained_on, CAST(sum(n) AS BIGINT) AS train_rows, CAST(count(*) AS BIGINT
 FROM settings JOIN c USING (session) GROUP BY trained_on""")
 def q_training_grid(spark, sf):
     w = peer_windows(packets(spark, sf, 3), [SERVER], features=["n_in"]).groupBy("session").agg(F.count("*").alias("n"))
-    parts = [w.where(F.col("session").isin(v)).agg(
-        F.lit(k).alias("trained_on"), F.sum("n").alias("train_rows"), F.count("*").alias("sources"))
-        for k, v in SETTINGS.items()]
-    return U.union_sessions(parts)
+    return R.training_settings(w).join(w, "session").groupBy("trained_on").agg(
+        F.sum("n").alias("train_rows"), F.count("*").alias("sources"))
 
 
 # --- Sets -----------------------------------------------------------------------------------
@@ -372,9 +371,9 @@ def q_union_sessions(spark, sf):
     return both.groupBy("source", "peer_ip").agg(F.count("*").alias("windows"))
 
 
-@query("key_except", """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("key_except", """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)""")
 def q_key_except(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
     return U.key_except(table(spark, sf, "customer").select("c_custkey"), orders, ["c_custkey"])
 
 

@@ -87,23 +87,24 @@ def tail_lines(spark: SparkSession, path, files_per_trigger: int = 100) -> DataF
 
 
 def read_scores(spark: SparkSession, path) -> DataFrame:
-    """Scored windows; files of the older form have no novel and model_version and get 0.
+    """Scored windows; files without novel or model_version get 0 there.
 
-    CSV columns are matched by position, and the old form lacks the fifth and the seventh, so
-    the header line of each file decides.
+    Columns are found by the names in each file's own header line, in whatever order they stand.
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith("window_start"))
-    p = F.split("value", ",")
-    new = F.size(p) >= 7
-    def at(i, kind):
-        return F.get(p, F.lit(i)).cast(kind)
-
-    return lines.select(
-        at(0, "double").alias("window_start"), at(1, "string").alias("peer_ip"),
-        at(2, "double").cast("bigint").alias("n_in"), at(3, "double").alias("score"),
-        F.when(new, at(4, "int")).otherwise(F.lit(0)).alias("novel"),
-        F.when(new, at(5, "int")).otherwise(at(4, "int")).alias("flagged"),
-        F.when(new, at(6, "int")).otherwise(F.lit(0)).alias("model_version")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    is_header = F.col("value").startswith("window_start")
+    headers = lines.where(is_header).groupBy("file").agg(F.split(F.first("value"), ",").alias("names"))
+    rows = lines.where(~is_header).join(headers, "file").withColumn("parts", F.split("value", ","))
+
+    def named(name, kind, otherwise=None):
+        at = F.array_position(F.transform("names", F.trim), name)
+        value = F.when(at > 0, F.get("parts", (at - 1).cast("int")).cast(kind))
+        return (value if otherwise is None else F.coalesce(value, F.lit(otherwise))).alias(name)
+
+    return rows.select(
+        named("window_start", "double"), named("peer_ip", "string"),
+        named("n_in", "double").cast("bigint").alias("n_in"), named("score", "double"), named("novel", "int", 0),
+        named("flagged", "int"), named("model_version", "int", 0)
     ).where(F.col("window_start").isNotNull()).select(*SCORES.names)
 
 

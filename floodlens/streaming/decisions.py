@@ -1,4 +1,5 @@
 """Per-peer state machines over streams of scored windows (K7, K8, K12) and minute counts."""
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,31 +15,49 @@ OBSERVED = "session string, peer_ip string, window_start double, flag boolean"
 
 def _in_order(frames) -> pd.DataFrame:
     """A key's windows of one micro-batch in time order: at most one per slot."""
-    return pd.concat(list(frames)).sort_values("window_start", kind="stable")
+    return pd.concat(list(frames)).sort_values("window_start", kind="stable", ignore_index=True)
+
+
+def _run_positions(flag: np.ndarray, broken: np.ndarray, carried: int) -> np.ndarray:
+    """How many flagged windows in a row end at each window, 0 where it is not flagged.
+
+    `broken` marks windows before which a run ends; `carried` is the run held when the first arrives.
+    """
+    at = np.arange(len(flag))
+    begin = np.where(~flag, at + 1, np.where(broken, at, -carried))
+    return np.where(flag, at + 1 - np.maximum.accumulate(begin), 0)
 
 
 def stream_block_decisions(scored: DataFrame, consecutive: int = 2, seconds: float = 60.0,
                            whitelist: list[str] = ()) -> DataFrame:
-    """Block and error actions as windows arrive; state per peer: streak and end of the block."""
-    spared = set(whitelist)
+    """Block and error actions as windows arrive; state per peer: run length and end of the block.
+
+    A micro-batch is cut at the blocks it sets: between two of them, runs and candidates are found at once.
+    """
+    spared = list(whitelist)
 
     def decide(key, frames, state: GroupState):
-        session, peer = key
-        streak, until = state.get if state.exists else (0, float("-inf"))
-        out = []
-        for r in _in_order(frames).itertuples(index=False):
-            if not r.flagged or until > r.now:
-                streak = 0
-                continue
-            streak += 1
-            if peer in spared or streak < consecutive:
-                continue
-            out.append((session, peer, "block" if r.action_ok else "error", r.now, r.score, streak,
-                        seconds if r.action_ok else None))
-            if r.action_ok:
-                streak, until = 0, r.now + seconds
-        state.update((streak, until))
-        yield pd.DataFrame(out, columns=ACTIONS.names)
+        run, until = state.get if state.exists else (0, float("-inf"))
+        rest, found = _in_order(frames), []
+        while len(rest):
+            counted = rest["flagged"].to_numpy(bool) & (rest["now"].to_numpy() >= until)
+            position = _run_positions(counted, np.zeros(len(rest), bool), run)
+            candidates = rest.assign(windows=position)[(position >= consecutive) & (key[1] not in spared)]
+            works = np.flatnonzero(candidates["action_ok"].to_numpy(bool))
+            tried = candidates if not len(works) else candidates.iloc[:works[0] + 1]
+            found.append(tried)
+            if not len(works):
+                run = int(position[-1])
+                break
+            set_at = candidates.index[works[0]]
+            run, until = 0, float(rest.loc[set_at, "now"]) + seconds
+            rest = rest.loc[set_at:].iloc[1:]
+        state.update((run, until))
+        actions = pd.concat(found) if found else rest.assign(windows=0)
+        ok = actions["action_ok"].to_numpy(bool)
+        yield pd.DataFrame(dict(zip(ACTIONS.names, (
+            key[0], key[1], np.where(ok, "block", "error"), actions["now"], actions["score"], actions["windows"],
+            np.where(ok, seconds, np.nan)))), index=actions.index).replace({np.nan: None})
 
     return scored.groupBy("session", "peer_ip").applyInPandasWithState(
         decide, ACTIONS, "streak int, until double", "append", GroupStateTimeout.NoTimeout)
@@ -46,20 +65,16 @@ def stream_block_decisions(scored: DataFrame, consecutive: int = 2, seconds: flo
 
 def stream_pseudo_labels(observed: DataFrame, consecutive: int = CONSECUTIVE,
                          window_s: float = WINDOW_SECONDS) -> DataFrame:
-    """Kind of every window (benign, attack or null); state per peer: streak and last window."""
+    """Kind of every window (benign, attack or null); state per peer: run length and last window."""
 
     def label(key, frames, state: GroupState):
-        streak, last = state.get if state.exists else (0, float("-inf"))
+        run, last = state.get if state.exists else (0, float("-inf"))
         rows = _in_order(frames)
-        kinds = []
-        for start, flag in zip(rows["window_start"], rows["flag"]):
-            if last < start - window_s:
-                streak = 0
-            last = start
-            streak = streak + 1 if flag else 0
-            kinds.append("benign" if not flag else "attack" if streak >= consecutive else None)
-        state.update((streak, last))
-        yield rows.assign(kind=kinds)[["session", "peer_ip", "window_start", "kind"]]
+        start, flag = rows["window_start"].to_numpy(float), rows["flag"].to_numpy(bool)
+        position = _run_positions(flag, np.diff(start, prepend=last) > window_s, run)
+        state.update((int(position[-1]), float(start[-1])))
+        kind = np.select([~flag, position >= consecutive], ["benign", "attack"], None)
+        yield rows.assign(kind=kind)[["session", "peer_ip", "window_start", "kind"]]
 
     return observed.groupBy("session", "peer_ip").applyInPandasWithState(
         label, "session string, peer_ip string, window_start double, kind string",

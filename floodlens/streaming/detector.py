@@ -57,8 +57,14 @@ class LiveDetector:
         self._write(self.spark.createDataFrame([row], schema), name, batch)
 
     def process(self, windows: DataFrame, batch: int) -> None:
-        if not windows.limit(1).count():
-            return
+        windows = windows.persist()      # read by the error rows, the scores and the check below
+        try:
+            if not windows.isEmpty():
+                self._process(windows, batch)
+        finally:
+            windows.unpersist()
+
+    def _process(self, windows: DataFrame, batch: int) -> None:
         good, errors = split_scorable(windows, self.features)
         self._write(errors, "errors", batch)
         scored = self.score_rows(good).withColumn("sup", above(F.col("score"), self.threshold))
@@ -68,9 +74,10 @@ class LiveDetector:
                   .withColumn("model_version", F.lit(self.version)).withColumn("observed", F.lit(self.novelty is not None)))
         self._write(scored.select(*KEY, "now", *self.features, "score", "sup", "novel", "flagged", "model_version", "observed"),
                     "scored", batch)
-        now = self.spark.read.parquet(batch_path(f"{self.folder}/scored", batch)).agg(F.max("now")).first()[0]
+        began, now = self.spark.read.parquet(batch_path(f"{self.folder}/scored", batch)).agg(F.min("now"), F.max("now")).first()
         if now is None:
             return
+        self.first = began if self.first is None else self.first
         observing = self.novelty is not None
         self._calibrate(batch, now)
         if self.adaptive and observing:
@@ -86,7 +93,6 @@ class LiveDetector:
     def _calibrate(self, batch: int, now: float) -> None:
         if not self.hybrid or self.novelty is not None:
             return
-        self.first = now if self.first is None else self.first
         if now < self.first + self.calibrate_s:
             return
         benign = self.table("scored").where(~F.col("sup"))
