@@ -344,10 +344,10 @@ def q_class_weights(spark, sf):
     return R.class_weights(labelled(spark, sf, features=["n_in"])).withColumn("weight", F.round("weight", 9))
 
 
-SETTINGS_SQL = """names AS (SELECT DISTINCT session FROM win), settings AS (
-SELECT session || ' only' AS trained_on, session FROM names
-UNION ALL SELECT 'all but ' || a.session, b.session FROM names a JOIN names b ON a.session <> b.session
-UNION ALL SELECT 'all datasets', session FROM names)"""
+SETTINGS_SQL = """sources AS (SELECT DISTINCT session FROM win), settings AS (
+SELECT session || ' only' AS trained_on, session FROM sources
+UNION ALL SELECT 'all but ' || a.session, b.session FROM sources a JOIN sources b ON a.session <> b.session
+UNION ALL SELECT 'all datasets', session FROM sources)"""
 
 
 @query("training_grid", f"""WITH {pk_sql(3)}, {DIR_SQL}, {win_sql()}, {SETTINGS_SQL},

@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 
 from floodlens.operators import adaptive as A
 from floodlens.operators import evaluation as E
-from floodlens.operators.sampling import holdout_session
-from floodlens.plans.labels import LAB, NAMES_SQL, SETTINGS, SETTINGS_SQL, attacker_hosts, labelled, schedule
+from floodlens.operators.sampling import holdout_session, training_settings
+from floodlens.plans.labels import LAB, NAMES_SQL, SETTINGS_SQL, attacker_hosts, labelled, schedule
 from floodlens.plans.packet_view import ATTACKERS_SQL, ATTACKS_SQL, DIR_SQL, pk_sql, win_sql
 from floodlens.plans.registry import query
 
@@ -148,6 +148,7 @@ lab AS (SELECT * FROM (SELECT w.*, e.label AS hit, coalesce(e.label, 0) AS label
 
 OFFSETS = {"low bar": 0.0, "high bar": 0.4}
 SEEDS = [0, 1, 2]
+TRAINED_ON = ["s1 only", "s2 only", "s3 only", "all but s1", "all but s2", "all but s3", "all datasets"]
 MODELS_SQL = "models AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{m}', {s}, CAST({o + 0.3 * s} AS DOUBLE))" for m, o in OFFSETS.items() for s in SEEDS) + ") t(model, seed, extra))"
 GRID = f"""{lab3_sql()}, {SETTINGS_SQL}, {MODELS_SQL},
@@ -161,8 +162,7 @@ results AS (SELECT model, seed, trained_on, test, avg(f1) AS macro_f1 FROM prf G
 def grid_predictions(spark, sf):
     d = labelled(spark, sf, 3, ["n_in"])
     bars = d.groupBy("session").agg(F.sum("n_in").alias("s"), F.count("*").alias("n"))
-    members = spark.createDataFrame([(k, s) for k, v in SETTINGS.items() for s in v], "trained_on string, session string")
-    bars = (members.join(bars, "session").groupBy("trained_on")
+    bars = (training_settings(bars).join(bars, "session").groupBy("trained_on")
             .agg((F.sum("s").cast("double") / F.sum("n")).alias("bar")).collect())
     options = F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.lit(s).alias("seed"), F.lit(b["trained_on"]).alias("trained_on"),
@@ -182,11 +182,11 @@ SESSIONS = ["s1", "s2", "s3"]
 
 @query("pivot_metric", f"""{GRID}
 SELECT trained_on, {", ".join(f"round(first(macro_f1) FILTER (test = '{s}'), 9) AS {s}" for s in SESSIONS)},
-  CAST(CASE trained_on {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(SETTINGS, 1))} END AS INT) AS position
+  CAST(CASE trained_on {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(TRAINED_ON, 1))} END AS INT) AS position
 FROM results WHERE model = 'low bar' AND seed = 0 GROUP BY trained_on""")
 def q_pivot_metric(spark, sf):
     r = grid_results(spark, sf).where("model = 'low bar' AND seed = 0")
-    return E.pivot_metric(r, "macro_f1", list(SETTINGS), SESSIONS).select(
+    return E.pivot_metric(r, "macro_f1", TRAINED_ON, SESSIONS).select(
         "trained_on", *[r9(s) for s in SESSIONS], "position")
 
 
