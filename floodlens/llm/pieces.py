@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNIGRAM, BPE = 1, 2, 3, 4, 6, 1, 2
 #: Chunks whose encoding a Python worker remembers, at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 _START = -1
 
 
@@ -278,7 +278,7 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_texts(docs: DataFrame, model: bytes, rows: int = 4000) -> DataFrame:
+def encode_texts(docs: DataFrame, model: bytes, rows: int = 1000) -> DataFrame:
     """`docs` with token_ids (array of int) and n_tokens; `model` holds the bytes of a model file."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a model file: its size is fixed
     kept = docs.drop("token_ids", "n_tokens")
