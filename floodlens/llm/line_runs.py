@@ -71,7 +71,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     blocks = blocks.withColumn("n", F.col("b") - F.col("a") + 1).withColumn("k", F.floor(F.log2(F.col("n") + F.lit(0.5))).cast("int"))
     blocks = materialise(blocks, "blocks")
     deepest = blocks.agg(F.max("k")).first()[0]
-    twice = rows.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
+    # written first, so that the join's two sides are plain exchanges and a hot line's can be split
+    twice = materialise(rows.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "twice")
     level = materialise(rows.join(twice, "line").select(*_DOC, "pos", F.col("line").alias("rank")), "level")
     found = None
     for k in range(0 if deepest is None else deepest + 1):
