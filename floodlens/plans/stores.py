@@ -111,13 +111,12 @@ SELECT window_start, peer_ip, n_in, round(least(n_in / CAST(5 AS DOUBLE), 1), 4)
   CAST(n_in >= 3 OR uniq_sport_in >= 3 AS INT) AS flagged, CAST(CASE WHEN n_in % 2 = 0 THEN 4 ELSE 0 END AS INT) AS model_version FROM win""")
 def q_read_scores(spark, sf):
     s = scored_windows(spark, sf)
-    old = F.concat_ws(",", F.format_string("%.0f", "window_start"), "peer_ip", F.col("n_in").cast("string"),
-                      F.format_string("%.4f", "score"), F.col("flagged").cast("int").cast("string"))
-    new = F.concat_ws(",", F.format_string("%.0f", "window_start"), "peer_ip", F.col("n_in").cast("string"), F.format_string("%.4f", "score"),
-                      F.col("novel").cast("string"), F.col("flagged").cast("int").cast("string"), F.lit("4"))
-    path = shared_dir(spark, "scores")
-    s.select(F.when(F.col("n_in") % 2 == 0, new).otherwise(old).alias("value")).write.text(path)
-    return R.read_scores(spark, path)
+    s = s.select(F.format_string("%.0f", "window_start").alias("window_start"), "peer_ip", "n_in", F.format_string("%.4f", "score").alias("score"),
+                 F.col("novel").cast("int").alias("novel"), F.col("flagged").cast("int").alias("flagged"), F.lit(4).alias("model_version"))
+    old, new = shared_dir(spark, "scores-old"), shared_dir(spark, "scores-new")
+    s.where("n_in % 2 <> 0").drop("novel", "model_version").write.option("header", True).csv(old)
+    s.where("n_in % 2 = 0").write.option("header", True).csv(new)
+    return R.read_scores(spark, [old, new])
 
 
 @query("read_detector_log", """SELECT CASE event_type WHEN 'error' THEN 'error' ELSE 'block' END AS event, CAST(event_id AS DOUBLE) AS ts,

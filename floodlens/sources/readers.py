@@ -89,12 +89,18 @@ def tail_lines(spark: SparkSession, path, files_per_trigger: int = 100) -> DataF
 def read_scores(spark: SparkSession, path) -> DataFrame:
     """Scored windows; files without novel or model_version get 0 there.
 
-    Columns are found by the names in each file's own header line, in whatever order they stand.
+    Columns are found by the names in each file's own header line, in whatever order they stand; in
+    a file without one by the number of columns, in the usual order.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     is_header = F.col("value").startswith("window_start")
     headers = lines.where(is_header).groupBy("file").agg(F.split(F.first("value"), ",").alias("names"))
-    rows = lines.where(~is_header).join(headers, "file").withColumn("parts", F.split("value", ","))
+    rows = lines.where(~is_header).join(headers, "file", "left").withColumn("parts", F.split("value", ","))
+    forms = [[c for c in SCORES.names if c not in left_out] for left_out in (("novel", "model_version"), ("model_version",), ())]
+    assumed = F.array()
+    for form in forms:
+        assumed = F.when(F.size("parts") == len(form), F.array(*map(F.lit, form))).otherwise(assumed)
+    rows = rows.withColumn("names", F.coalesce("names", assumed))
 
     def named(name, kind, otherwise=None):
         at = F.array_position(F.transform("names", F.trim), name)
