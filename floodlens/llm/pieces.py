@@ -21,12 +21,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNIGRAM, BPE = 1, 2, 3, 4, 6, 1, 2
-#: Chunks whose encoding a Python worker remembers, at most.
-REMEMBERED = 500_000
+#: Chunks whose encoding a Python worker remembers between batches, at most; beyond, the third used most is kept.
+REMEMBERED = 300_000
+#: Texts that are matched at a time.
+ROWS = 500
 _START = -1
 
 
@@ -66,7 +68,18 @@ class PieceModel:
 
     def forget(self):
         self.place: dict[str, int] = {}
-        self.flat, self.starts, self.counts = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat, self.starts, self.counts, self.uses = (np.zeros(0, np.int64) for _ in range(4))
+
+    def _thin(self):
+        """Keeps the third of the remembered chunks that was used most."""
+        kept = np.sort(np.argsort(self.uses)[-(REMEMBERED // 3):]) if REMEMBERED >= 3 else np.zeros(0, np.int64)
+        names = list(self.place)  # in the order of their numbers
+        self.place = {names[i]: j for j, i in enumerate(kept.tolist())}
+        n = self.counts[kept]
+        self.flat = self.flat[np.repeat(self.starts[kept] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        self.starts, self.counts, self.uses = np.cumsum(n) - n, n, self.uses[kept]
+        if len(self.stand) > 4 * REMEMBERED:
+            self.stand.clear()
 
     # merging -----------------------------------------------------------------------------------------------------
     def _merged(self, text: str) -> list[str]:
@@ -156,6 +169,7 @@ class PieceModel:
         self.place.update(zip(chunks, range(len(self.counts), len(self.counts) + len(chunks))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
+        self.uses = np.concatenate([self.uses, np.zeros_like(counts)])
         self.flat = np.concatenate([self.flat, flat])
 
     def _traced(self, begins, at, last_start, last_piece) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +259,7 @@ class PieceModel:
                 chunks.extend([spaced] if self.crosses else find(spaced))
             ends.append(len(chunks))
         if len(self.place) > REMEMBERED:
-            self.forget()
+            self._thin()
         fresh = [c for c in dict.fromkeys(chunks) if c not in self.place]
         if fresh:
             self.learn(fresh)
@@ -253,6 +267,7 @@ class PieceModel:
             return np.zeros(0, np.int32), np.zeros(len(ends), np.int64)
         flat, starts, counts = self.flat, self.starts, self.counts
         at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        self.uses += np.bincount(at, minlength=len(counts))
         n = counts[at]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = flat[np.repeat(starts[at] - total[:-1], n) + np.arange(total[-1])].astype(np.int32)
@@ -278,7 +293,7 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_texts(docs: DataFrame, model: bytes, rows: int = 1000) -> DataFrame:
+def encode_texts(docs: DataFrame, model: bytes, rows: int = ROWS) -> DataFrame:
     """`docs` with token_ids (array of int) and n_tokens; `model` holds the bytes of a model file."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a model file: its size is fixed
     kept = docs.drop("token_ids", "n_tokens")
@@ -305,8 +320,25 @@ def decode_column(ids: Column, model: bytes) -> Column:
     return decode(ids)
 
 
-def encode_and_decode(docs: DataFrame, model: bytes) -> DataFrame:
-    """(doc_id, n_tokens, token_ids, round_trip): whether decoding gives the text back (null as empty)."""
-    coded = encode_texts(docs.select("doc_id", "text"), model)
-    back = decode_column(F.col("token_ids"), model)
-    return coded.select("doc_id", "n_tokens", "token_ids", back.eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+def encode_and_decode(docs: DataFrame, model: bytes, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_tokens, token_ids, round_trip): whether decoding gives the text back (null as empty).
+
+    Both steps run in the same worker, so the ids do not travel in between.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a model file: its size is fixed
+    kept = docs.select("doc_id", "text")
+    schema = StructType([kept.schema["doc_id"], StructField("n_tokens", LongType()),
+                         StructField("token_ids", ArrayType(IntegerType(), False)), StructField("round_trip", BooleanType())])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _model(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                texts = part.column("text").to_pylist()
+                ids, ends = own.encode(texts)
+                same = [own.decode(ids[a:b].tolist()) == (x or "") for x, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
+                     pa.array(same)], schema.names)
+    return kept.mapInArrow(both, schema)
