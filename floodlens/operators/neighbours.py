@@ -212,7 +212,15 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool = False
     is named by its vector here, so the result does not depend on the path taken.
     """
     if not skip_self:
-        queries = queries.withColumn("qid", F.md5(F.to_json("vec")))
+        own = [F.col("qid").alias("_own")] if "qid" in queries.columns else []
+        rest = [c for c in queries.columns if c != "qid"]
+        named = queries.select(*rest, *own, F.md5(F.to_json("vec")).alias("qid"))
+        found = _nearest(named, refs, k, False, max_broadcast, pivots, block_rows)
+        return found.withColumn("qid", F.col("_own")).drop("_own") if own else found
+    return _nearest(queries, refs, k, True, max_broadcast, pivots, block_rows)
+
+
+def _nearest(queries, refs, k, skip_self, max_broadcast, pivots, block_rows):
     refs = refs.select("rid", "vec", F.col("label").cast("int").alias("label"))
     rows = refs.limit(max_broadcast + 1).collect()
     if len(rows) <= max_broadcast:

@@ -136,7 +136,7 @@ class LiveDetector:
         scored = self._existing("scored")
         if scored is None:
             return self
-        self.first = scored.groupBy("batch").agg(F.max("now").alias("now"), F.min("batch").alias("b")).orderBy("b").first()["now"]
+        self.first = scored.groupBy("batch").agg(F.min("now").alias("now"), F.min("batch").alias("b")).orderBy("b").first()["now"]
         calibrated, retrained, pool = (self._existing(n) for n in ("calibrated", "retrained", "pool"))
         if calibrated is not None:
             done = calibrated.orderBy("batch").first()
