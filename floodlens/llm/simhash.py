@@ -102,12 +102,12 @@ class Ring:
 def _links(ring: Ring):
     def group_links(key, fp, probe):
         found = []
-        step, rows = 1, np.flatnonzero(key[1:] == key[:-1])
+        # a key's own rows stand ahead of its probes, so only they need partners
+        step, rows = 1, np.flatnonzero((key[1:] == key[:-1]) & ~probe[:-1])
         held = 0
         while len(rows):
-            use = rows[~(probe[rows] & probe[rows + step])]
-            difference = fp[use] ^ fp[use + step]
-            use = use[ring.near((key[use] >> 56).astype(np.int64), difference) & (difference != 0)]
+            difference = fp[rows] ^ fp[rows + step]
+            use = rows[ring.near((key[rows] >> 56).astype(np.int64), difference) & (difference != 0)]
             found.append((fp[use].view(np.int64), fp[use + step].view(np.int64)))
             held += len(use)
             if held > 1 << 20:
@@ -146,7 +146,7 @@ def fingerprint_links(fingerprints: DataFrame, max_bits: int = 4, key_rows: int
     keyed = fingerprints.select("fp", F.explode(ring.keys(F.col("fp"))).alias("x")).select("x.k", "fp", "x.probe")
     crowded = materialise(keyed.where("not probe").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > key_rows), "crowded")
     if crowded.isEmpty():
-        dealt = keyed.repartition("k").sortWithinPartitions("k").select("k", "fp", "probe")
+        dealt = keyed.repartition("k").sortWithinPartitions("k", "probe").select("k", "fp", "probe")
     else:
         blocks = F.coalesce(F.ceil(F.col("n") / key_rows), F.lit(1)).cast("int")
         own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
@@ -162,7 +162,7 @@ def _block_links(ring: Ring):
     search = _links(ring)
 
     def of_group(group: pa.Table) -> pa.Table:
-        found = list(search(iter(group.select(["k", "fp", "probe"]).combine_chunks().to_batches())))
+        found = list(search(iter(group.select(["k", "fp", "probe"]).sort_by("probe").combine_chunks().to_batches())))
         return pa.Table.from_batches(found, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
     return of_group
 
