@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from floodlens.llm.common import text_of, with_ordinal
 
 K, WINDOW = 12, 32
+#: Ranges that documents are dealt to, at most: beyond, the ranges are longer. It bounds the ids sent to the tasks.
+RANGES = 20_000
 _BLOCK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,14 +127,15 @@ def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW, range_row
     """Fingerprints of every text and of its edited form, with the likeness to that form and to the next document.
 
     The edited form has its last floor(n/3) code points replaced by as many from the front of the next document, in
-    descending doc_id; the first follows the last. Documents are dealt once, to ranges of about `range_rows` in
-    that order; every range's first document also goes to the end of the range before it. Only those first ids, one
+    descending doc_id; the first follows the last. Documents are dealt once, to ranges of about `range_rows` (or
+    more, so that there are no more than RANGES) in that order; every range's first document also goes to the end of the range before it. Only those first ids, one
     for each range, reach the driver.
     """
     spark = docs.sparkSession
     low = -(1 << 63)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(low))
     ranked = with_ordinal(docs.select(key.alias("k")), [F.col("k").desc()], "at")
+    range_rows = max(range_rows, -(-ranked.count() // RANGES))
     cuts = np.array(sorted({r[0] for r in ranked.where(F.col("at") % range_rows == 0).select("k").collect()}), np.int64)
     if not len(cuts):
         return spark.createDataFrame([], _OUT)
