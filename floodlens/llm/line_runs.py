@@ -87,7 +87,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if found is None:
         return blocks.where("false").select(*_DOC, F.col("a").alias("start"), F.col("b").alias("end"), "last")
     found = materialise(found, "intervals")
-    first = found.groupBy("n", "x", "y").agg(F.count("*").alias("copies"), F.min(F.struct(*_DOC, "a")).alias("first")).where("copies > 1")
+    first = materialise(found.groupBy("n", "x", "y").agg(
+        F.count("*").alias("copies"), F.min(F.struct(*_DOC, "a")).alias("first")).where("copies > 1"), "first")
     later = found.join(first, ["n", "x", "y"]).where(F.struct(*_DOC, "a") != F.col("first")).select(*_DOC, "a", "b", "last")
     along = W.partitionBy(*_DOC).orderBy("a", "b")
     reach = F.max("b").over(along.rowsBetween(W.unboundedPreceding, -1))
