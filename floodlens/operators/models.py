@@ -21,7 +21,6 @@ from floodlens.operators.views import masked_flat
 
 # Fixed values of the compared models
 FOREST_TREES = 200
-FOREST_TREES_SMALL = 100
 BOOST_ROUNDS = 100
 BOOST_STEP = 0.1
 THRESHOLD = 0.5

@@ -37,7 +37,7 @@ KEYS = ["session", "window_start", "peer_ip"]
 @query("rf_fit_score")
 def q_rf(spark, sf):
     train, test = split_rows(spark, sf)
-    model = M.fit_forest(train, FEATURES, trees=M.FOREST_TREES_SMALL)
+    model = M.fit_forest(train, FEATURES)
     return M.score(model, test, FEATURES).select(*KEYS, "y", "p")
 
 
@@ -51,7 +51,7 @@ def q_gbt(spark, sf):
 @query("svm_rbf")
 def q_svm(spark, sf):
     train, test = split_rows(spark, sf)
-    return M.fit_svm(train, FEATURES, width=128, iterations=20).predict(test).select(*KEYS, "y", "p")
+    return M.fit_svm(train, FEATURES).predict(test).select(*KEYS, "y", "p")
 
 
 @query("cross_validate")
@@ -66,7 +66,7 @@ def q_cross_validate(spark, sf):
 @query("feature_importance")
 def q_importance(spark, sf):
     train, _ = split_rows(spark, sf)
-    return M.feature_importance(spark, M.fit_forest(train, FEATURES, trees=20, depth=8), FEATURES)
+    return M.feature_importance(spark, M.fit_forest(train, FEATURES), FEATURES)
 
 
 def sequence_split(spark, sf):
