@@ -66,6 +66,18 @@ def test_links_give_the_components_of_all_pairs(spark, max_bits, key_rows):
     assert {n: found.get(n, n) for n in signed} == near
 
 
+def test_a_key_of_many_probes_and_few_own_rows(spark):
+    rng = random.Random(8)
+    start = rng.getrandbits(64) & ~(((1 << 13) - 1) << 12)  # the second segment's bits are clear: even, so these rows probe
+    crowd = {start ^ rng.getrandbits(39) << 25 for _ in range(300)}
+    few = {x ^ 1 << 12 for x in sorted(crowd)[:5]}
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in crowd | few)
+    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    found = dict(linked_components(links).collect())
+    near = plain_components(signed, lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= 4)
+    assert {n: found.get(n, n) for n in signed} == near and len(found) >= 5
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     found = dict(linked_components(spark.createDataFrame(edges, "a long, b long")).collect())
@@ -163,8 +175,9 @@ def test_blocks_do_not_change_selections(monkeypatch):
     assert all((x == y).all() for x, y in zip(whole, winnow.Winnower().selections(text)))
 
 
-@pytest.mark.parametrize("range_rows", [3, 4096])
-def test_edited_likeness_equals_brute_force(spark, range_rows):
+@pytest.mark.parametrize("range_rows,ranges", [(3, 20_000), (4096, 20_000), (3, 5)])
+def test_edited_likeness_equals_brute_force(spark, monkeypatch, range_rows, ranges):
+    monkeypatch.setattr(winnow, "RANGES", ranges)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40")
     rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
     found = {r.doc_id: r for r in winnow.edited_likeness(docs, range_rows=range_rows).collect()}
