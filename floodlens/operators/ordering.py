@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from floodlens.session import materialise
+
 ARRIVAL_BITS = 17
 HASH_DIGITS = 3
 MAX_EDGE = 1_000_000
@@ -47,6 +49,20 @@ def arrival_number(df: DataFrame, keys: list[str], seq: str, out: str,
             .drop("_chunk", "_pos", "_offset"))
 
 
+def global_position(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """0-based position of every row in the global order.
+
+    Rows are dealt to ranges and written, so the ranges stay as they are; one row per range is ordered globally.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = materialise(ranged.withColumn("_range", F.spark_partition_id()).withColumn(
+        "_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "position")
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = numbered.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return numbered.join(starts, "_range").withColumn(out, F.col("_start") + F.col("_row")).drop("_range", "_row", "_start")
+
+
 def value_buckets(df: DataFrame, value: str, out: str, buckets: int = 256) -> DataFrame:
     """Range bucket of a numeric column; cut points are fixed numbers, so a lost task recomputes
     the same buckets."""

@@ -307,7 +307,15 @@ def q_holdout_session(spark, sf):
     return w.groupBy("session", F.col("is_test").cast("int").alias("is_test")).agg(F.count("*").alias("windows"))
 
 
-@query("stratified_group_kfold")
+@query("stratified_group_kfold", f"""{LAB},
+n AS (SELECT session, round, label, count(*) AS n FROM lab GROUP BY ALL),
+c AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY label) AS DOUBLE) AS share FROM n),
+own AS (SELECT *, row_number() OVER (PARTITION BY session, round ORDER BY share DESC, label DESC) AS rn,
+    sum(n) OVER (PARTITION BY session, round) AS size FROM c),
+g AS (SELECT session, round, row_number() OVER (ORDER BY label, size DESC, session, round) - 1 AS pos FROM own WHERE rn = 1),
+f AS (SELECT session, round, CASE WHEN (pos // 4) % 2 = 0 THEN pos % 4 ELSE 3 - pos % 4 END AS fold FROM g)
+SELECT CAST(fold AS INT) AS fold, n.session, CAST(n.round AS INT) AS round, CAST(label AS INT) AS label, CAST(n AS BIGINT) AS windows
+FROM n JOIN f ON n.session = f.session AND n.round = f.round""")
 def q_group_kfold(spark, sf):
     d = R.stratified_group_kfold(labelled(spark, sf, features=["n_in"]), ["session", "round"], 4)
     return d.groupBy("fold", "session", "round", "label").agg(F.count("*").alias("windows"))

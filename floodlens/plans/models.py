@@ -18,20 +18,18 @@ from floodlens.schemas import COUNT_FEATURES, FEATURES, LABEL_NAMES
 from floodlens.session import materialise, shared_dir
 
 
-def protocol_label(df):
-    """A learnable stand-in for the attack type: the protocol that dominates the window."""
-    return df.withColumn("y", F.when(F.col("udp_ratio_in") > 0.5, 2).when(F.col("icmp_ratio_in") > 0.5, 1).otherwise(0))
+def scheduled(df, binary=False):
+    """The label of the attack schedule as `y`; no feature takes part in it."""
+    return df.withColumn("y", (F.col("label") > 0).cast("int") if binary else F.col("label"))
 
 
 def split_rows(spark, sf, binary=False):
-    d = protocol_label(labelled(spark, sf, 3, FEATURES))
-    if binary:
-        d = d.withColumn("y", (F.col("y") > 0).cast("int"))
-    d = materialise(R.holdout_session(d), "model-rows")
+    d = materialise(R.holdout_session(scheduled(labelled(spark, sf, 3, FEATURES), binary)), "model-rows")
     return d.where("not is_test"), d.where("is_test")
 
 
 KEYS = ["session", "window_start", "peer_ip"]
+FOLDS = 5
 
 
 @query("rf_fit_score")
@@ -44,7 +42,7 @@ def q_rf(spark, sf):
 @query("gbt_fit_score")
 def q_gbt(spark, sf):
     train, test = split_rows(spark, sf, binary=True)
-    model = M.fit_boosted(train, FEATURES, rounds=20)
+    model = M.fit_boosted(train, FEATURES)
     return M.score(model, test, FEATURES, threshold=0.5).select(*KEYS, "y", "p", "score")
 
 
@@ -57,9 +55,8 @@ def q_svm(spark, sf):
 @query("cross_validate")
 def q_cross_validate(spark, sf):
     train, _ = split_rows(spark, sf)
-    rows = materialise(R.stratified_group_kfold(train, ["session", "round"], 3, label="y"), "folds")
-    value = M.cross_validate(rows, lambda t: M.fit_forest(t, FEATURES, trees=10, depth=8),
-                             lambda m, t: M.score(m, t, FEATURES), 3)
+    rows = materialise(R.stratified_group_kfold(train, ["session", "round"], FOLDS, label="y"), "folds")
+    value = M.cross_validate(rows, lambda t: M.fit_forest(t, FEATURES), lambda m, t: M.score(m, t, FEATURES), FOLDS)
     return rows.groupBy("fold").agg(F.count("*").alias("windows")).withColumn("cv_macro_f1", F.lit(value))
 
 
@@ -70,17 +67,16 @@ def q_importance(spark, sf):
 
 
 def sequence_split(spark, sf):
-    w = labelled(spark, sf, 3, ["n_in", "udp_ratio_in", "icmp_ratio_in"])
+    w = labelled(spark, sf, 3, ["n_in"])
     s = V.sequence_view(packets(spark, sf, 3), [SERVER])
-    d = protocol_label(L.attach_sequences(w, s)).withColumn("y", (F.col("y") > 0).cast("int"))
-    d = materialise(R.holdout_session(d), "sequence-rows")
+    d = materialise(R.holdout_session(scheduled(L.attach_sequences(w, s), binary=True)), "sequence-rows")
     return d.where("not is_test"), d.where("is_test")
 
 
 @query("rf_sequence")
 def q_rf_sequence(spark, sf):
     train, test = sequence_split(spark, sf)
-    model = M.fit_sequence_forest(M.sequence_rows(train), trees=20, depth=8)
+    model = M.fit_sequence_forest(M.sequence_rows(train))
     return model.transform(M.sequence_rows(test)).select(*KEYS, "y", F.col("prediction").cast("int").alias("p"))
 
 
@@ -89,7 +85,7 @@ def q_neural(spark, sf):
     train, test = sequence_split(spark, sf)
     parts = R.group_shuffle_split(train, ["session", "round"], 0.15, 42)
     fit, val = parts.where("not is_val"), parts.where("is_val")
-    model, _ = M.fit_network(M.sequence_rows(fit), M.sequence_rows(val), hidden=16, budgets=[20])
+    model, _ = M.fit_network(M.sequence_rows(fit), M.sequence_rows(val))
     return model.transform(M.sequence_rows(test)).select(*KEYS, "y", F.col("prediction").cast("int").alias("p"))
 
 
@@ -125,16 +121,16 @@ def q_json_scoring_open(spark, sf):
 @query("scoring_efficiency")
 def q_efficiency(spark, sf):
     train, test = split_rows(spark, sf)
-    return M.scoring_efficiency(spark, "forest", M.fit_forest(train, FEATURES, trees=20, depth=8), test, FEATURES)
+    return M.scoring_efficiency(spark, "forest", M.fit_forest(train, FEATURES), test, FEATURES)
 
 
 @query("model_table")
 def q_model_table(spark, sf):
     train, test = split_rows(spark, sf)
     models = {
-        "Random Forest": (lambda t: M.fit_forest(t, FEATURES, trees=20, depth=8), lambda m, t: M.score(m, t, FEATURES)),
+        "Random Forest": (lambda t: M.fit_forest(t, FEATURES), lambda m, t: M.score(m, t, FEATURES)),
         "KNN": (lambda t: t, lambda m, t: knn_classify(t, m, FEATURES, KEYS, label="y")),
-        "SVM": (lambda t: M.fit_svm(t, FEATURES, width=64, iterations=10), lambda m, t: m.predict(t)),
+        "SVM": (lambda t: M.fit_svm(t, FEATURES), lambda m, t: m.predict(t)),
     }
     return M.compare_models(spark, train, test, models)
 
@@ -144,7 +140,7 @@ def q_model_store(spark, sf):
     from floodlens.sources.sinks import load_model, save_model
     train, test = split_rows(spark, sf)
     path = shared_dir(spark, "model")
-    save_model(M.fit_forest(train, FEATURES, trees=10, depth=8), path, FEATURES, 1.0, LABEL_NAMES, ["s1", "s2"],
+    save_model(M.fit_forest(train, FEATURES), path, FEATURES, 1.0, LABEL_NAMES, ["s1", "s2"],
                base=train.select(*FEATURES, "y"))
     model, info, base = load_model(spark, path, FEATURES)
     counts = M.score(model, test, FEATURES).groupBy("p").agg(F.count("*").alias("windows"))
@@ -152,12 +148,12 @@ def q_model_store(spark, sf):
 
 
 def replay(spark, sf):
-    """Derived network: 120 s of calibration, 30 s steps, a refit per minute."""
+    """Derived network of a few minutes: 120 s of calibration, 30 s steps, a refit per minute; the base is other sessions."""
     rows = materialise(labelled(spark, sf, 1, FEATURES), "replay-rows")
     key = ["session", "window_start", "peer_ip"]
-    base = protocol_label(rows.where("window_start < 60")).withColumn("y", (F.col("y") > 0).cast("int"))
+    base = materialise(scheduled(labelled(spark, sf, 3, FEATURES), binary=True).where("session <> 's1'"), "replay-base")
     cal, _, _ = A.calibration_split(rows, 120.0)
-    novelty = novelty_fit(cal, FEATURES, key, quantile=0.9)
+    novelty = novelty_fit(cal, FEATURES, key)
 
     def fit(data):
         model = M.fit_boosted(data, FEATURES, rounds=5, depth=3)
