@@ -215,3 +215,27 @@ def test_license_scan(spark):
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n"))).where("col rlike '^(Licensed under|Released under|This work is licensed)'")
     assert {(r.doc_id, r.first_line) for r in licences.scan_licences(docs).collect()} == {(r.doc_id, r.pos) for r in lines.collect()}
     assert licences.scan_licences(odd(spark)).count() == licences.scan_licences(docs.limit(0)).count() == 0
+
+
+def test_license_notices_inside_lines_and_variants():
+    scanner, pad = licences.Scanner(), "Copyright (c) 2020 Jane Doe and contributors to the project, all files here. "
+    names = lambda text: [f[0] for f in scanner.scan(text)]
+    assert names(f"{pad}Released under the MIT License.") == names("Licensed under the MIT License.") == ["MIT"]
+    for t in scanner.templates:
+        assert names("one " * 300 + " ".join(t.words) + " two" * 300) == [t.name]
+        for i, cost in enumerate(t.costs):
+            if cost == 1 and i not in t.places:
+                assert names(f"{pad}{' '.join(t.words[:i] + t.words[i + 1:])} {pad}") == [t.name]
+    for other in ("Affero", "Lesser"):
+        assert not names(f"This work is licensed under the GNU {other} General Public License, version 3.")
+        assert not names(licences.TEMPLATES["GPL-3.0"][1].replace("GNU General", f"GNU {other} General"))
+    assert names(licences.TEMPLATES["GPL-3.0"][1].replace("version 3", "version 2")) == ["GPL-2.0"]
+    assert not names("Licensed under CC BY-ND 4.0.") and not names("Licensed under the GNU GPL, version 2.1.")
+    assert names("Released under the MIT License. Licensed under CC BY-NC 4.0.") == ["MIT", "CC-BY-NC-4.0"]
+
+
+def test_license_scan_in_pieces(monkeypatch):
+    text = "\n".join(f"{'word ' * (i % 97)}Released under the BSD License. {'x ' * (i % 13)}" for i in range(300))
+    whole = licences.Scanner().scan(text)
+    monkeypatch.setattr(licences, "HELD", 5)
+    assert licences.Scanner().scan(text) == whole and [f[1] for f in whole] == list(range(300))
