@@ -18,7 +18,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words or more are cut out of the texts."""
+    """Later copies of repeated lines and runs of lines are cut out of the texts."""
     return line_runs.drop_repeated_lines(docs)
 
 

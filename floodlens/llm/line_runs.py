@@ -20,7 +20,8 @@ from pyspark.sql import Window as W
 from floodlens.llm.common import WORD
 from floodlens.session import materialise
 
-MIN_WORDS = 50
+#: A run of repeated lines is deleted from one word on, so single lines are runs too; only blank ones stay.
+MIN_WORDS = 1
 _DOC = ["__id", "__text"]
 
 

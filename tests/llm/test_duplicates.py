@@ -239,3 +239,11 @@ def test_license_scan_in_pieces(monkeypatch):
     whole = licences.Scanner().scan(text)
     monkeypatch.setattr(licences, "HELD", 5)
     assert licences.Scanner().scan(text) == whole and [f[1] for f in whole] == list(range(300))
+
+
+def test_single_repeated_lines_are_runs(spark):
+    docs = [["one", "two words", "", "mine"], ["yours", "two words", "", "own"], ["one", "last"], ["two words"]]
+    frame = spark.createDataFrame([(i, "\n".join(d), "en", "s", 0) for i, d in enumerate(docs)], DOCS)
+    kept = {r.doc_id: r.text.split("\n") for r in line_runs.drop_repeated_lines(frame).collect()}
+    assert kept == {0: docs[0], 1: ["yours", "own"], 2: ["last"], 3: [""]}
+    assert {r.doc_id: r.kept_lines for r in line_runs.repeated_line_counts(frame).collect()} == {0: 4, 1: 2, 2: 1, 3: 0}
