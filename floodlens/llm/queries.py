@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from floodlens.llm import language, licences, line_runs, mixing, pieces, quality, shards, simhash, toxicity, winnow
 from floodlens.llm.common import table
+from floodlens.session import shared_dir
 
 #: The vocabulary file of the token operators; a parameter of theirs.
 PIECES = os.environ.get("FLOODLENS_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -29,7 +30,7 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.shard_documents(table(spark, sf_dir, "documents"))
+    return shards.written_shards(table(spark, sf_dir, "documents"), shared_dir(spark, "shards"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,19 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, seed: int = 7, carry: t
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40, seed: int = 7, bucket_bytes: int = 64 << 20) -> None:
-    """Writes the whole records as Parquet, one folder for each shard; rows stand in the order of their slots in each file."""
+    """Writes the whole records as Parquet, one folder for each shard; rows stand in the order of their slots in each file.
+
+    Buckets stay whole in the tasks that permuted them, so the texts travel once.
+    """
     out = shard_documents(docs, n_shards, seed, tuple(docs.columns), bucket_bytes)
-    out.drop("law", "text_crc32", "grown_shard").repartitionByRange("shard", "slot").sortWithinPartitions(
+    out.drop("law", "text_crc32", "grown_shard").sortWithinPartitions(
         "shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def written_shards(docs: DataFrame, path: str, n_shards: int = 40, seed: int = 7, bucket_bytes: int = 64 << 20) -> DataFrame:
+    """Writes the whole records to `path` and reads doc_id, size, text_crc32, law, shard, slot and grown_shard from there."""
+    write_shards(docs, path, n_shards, seed, bucket_bytes)
+    types = docs.select("doc_id", "text").schema.add("shard", "integer").add("slot", "long")
+    return docs.sparkSession.read.schema(types).parquet(path).select(
+        "doc_id", (F.octet_length(text_of()) + ROW_BYTES).cast("long").alias("size"), F.crc32(text_of()).alias("text_crc32"),
+        F.lit("key").alias("law"), "shard", "slot", _first_of(_weights(n_shards + 1, seed)).alias("grown_shard"))

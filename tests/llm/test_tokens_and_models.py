@@ -228,3 +228,14 @@ def test_outliers_of_each_group_are_rejected(spark):
 def test_quality_of_odd_rows(spark):
     rows = quality.quality_verdicts(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(r.base_failed for r in rows if r.n_words < 50) and quality.quality_verdicts(odd(spark).limit(0)).count() == 0
+
+
+def test_shard_query_reads_what_it_wrote(spark, monkeypatch):
+    from floodlens.llm import queries
+    paths, write = [], shards.write_shards
+    monkeypatch.setattr(shards, "write_shards", lambda docs, path, *a: (paths.append(path), write(docs, path, *a)))
+    docs = spark.read.parquet(SMALL)
+    found = {tuple(r) for r in queries.op5_sharding(spark, SMALL.rsplit("/", 1)[0]).collect()}
+    assert found == {tuple(r) for r in shards.shard_documents(docs).collect()}
+    back = spark.read.parquet(paths[0])
+    assert {(r.doc_id, r.text) for r in back.collect()} == {(r.doc_id, r.text) for r in docs.collect()}
