@@ -239,3 +239,19 @@ def test_shard_query_reads_what_it_wrote(spark, monkeypatch):
     assert found == {tuple(r) for r in shards.shard_documents(docs).collect()}
     back = spark.read.parquet(paths[0])
     assert {(r.doc_id, r.text) for r in back.collect()} == {(r.doc_id, r.text) for r in docs.collect()}
+
+
+def test_language_of_a_text_is_the_same_in_any_batch(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "abab abba, baab!", "x", None, 0), (2, "", "x", None, 0), (3, "zz zyz", "y", None, 0), (4, "zb", "x", None, 0)], DOCS)
+    counts = Counter()
+    for lang, text in (("x", "   abab abba baab "), ("y", "   zz zyz "), ("x", "   zb ")):
+        counts.update((lang, text[i:i + 4]) for i in range(len(text) - 3))
+    assert {(r.lang, r.gram): r.n for r in language.gram_counts(docs).collect()} == counts
+    scorer = language.Scorer(language.kneser_ney(language.gram_counts(docs)).toPandas(), language.ORDER)
+    texts = ["z", "abab", "", "b", "zz", None, "z", "b a", "日", "z"]
+    for dense in (1 << 24, 1):
+        monkeypatch.setattr(language, "_DENSE", dense)
+        alone = np.concatenate([scorer.cross_entropies([t])[0] for t in texts])
+        assert (alone[0] > 0).all() and alone[0, 0] != alone[0, 1]
+        assert np.array_equal(alone, scorer.cross_entropies(texts)[0])
+        assert np.array_equal(alone[::-1], scorer.cross_entropies(texts[::-1])[0])
