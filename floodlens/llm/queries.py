@@ -5,7 +5,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from floodlens.llm import language, licences, line_runs, mixing, pieces, quality, shards, simhash, toxicity, winnow
+from floodlens.llm import (hard_negatives, language, licences, line_runs, mixing, pieces, quality, shards, simhash, spellings, token_counts, toxicity,
+                           winnow)
 from floodlens.llm.common import table
 from floodlens.session import shared_dir
 
@@ -59,7 +60,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.spelling_forms(spellings.word_counts(table(spark, sf_dir, "documents"), delete_every=199))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is a new folder of the shared one: every distinct text is a miss, is appended and is then looked up."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.Tokenizer(PIECES), shared_dir(spark, "token_counts"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 100th vec_id is an anchor; rows whose vec_id 7 divides carry the next label."""
+    own = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (own + 1) % 10).otherwise(own)
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_sentencepiece, op3_line_dedup, op4_document_fingerprints, op5_sharding, op6_toxicity,
-    op7_license_scan, op8_language_id, op9_source_mixing, op10_quality_rules)}
-SQL = {"op9_source_mixing": mixing.SHARES_SQL}
+    op7_license_scan, op8_language_id, op9_source_mixing, op10_quality_rules, op11_spelling_variants,
+    op12_token_counts, op13_hard_negatives)}
+SQL = {"op9_source_mixing": mixing.SHARES_SQL, "op13_hard_negatives": hard_negatives.SQL}
