@@ -1,25 +1,34 @@
-"""Per-peer time-window features.
+"""Per-peer time-window features (W1-W28) in one pass over the packets.
 
-Three narrow aggregations share the window key, so their results meet without another shuffle:
-totals (combined before the shuffle, whatever the size of a flood), ports (counted per port
-first, then finished per window) and inter-arrival, which needs arrival order and reads four
-columns of inbound packets grouped by (window, arrival chunk), so a hot peer is many tasks.
-On a stream the same parts are one chain of two aggregations (port_level, window_level).
+Packets are dealt once, by window and chunk of the arrival order, so a flood of one peer is many
+tasks. A part holds what is known of a stretch of a window: sums, extremes, first and last arrival
+with the squared gaps between them, and the count of each port. Parts of neighbouring stretches
+merge into one; a single packet is a part, so the same merge makes parts of packets and windows of
+parts, whatever the packets were cut into. A stream keeps the parts of its open windows and merges
+them with the next ones (streaming/windows.py).
 """
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from floodlens.functions.columns import (entropy_bits, has_flag, share, slot_start, spread,
                                          syn_and_ack, syn_only)
-from floodlens.operators.ordering import ARRIVAL_BITS, arrival_chunk
-from floodlens.operators.packets import direction, with_slot
-from floodlens.schemas import (ACK, FEATURES, FIN, ICMP, PSH, RST, TCP, UDP,
+from floodlens.operators.ordering import arrival_chunk
+from floodlens.operators.packets import direction, mark_late, with_slot
+from floodlens.schemas import (ACK, FEATURES, FIN, ICMP, PSH, RST, SYN, TCP, UDP,
                                WINDOW_SECONDS)
 
-# What an exploded row stands for
-PACKET, SPORT, DPORT, ARRIVAL = 0, 1, 2, 3
-MAX_WINDOW_SECONDS = 3000
+# A part holds the packets of one window among at most 2^bits arrivals
+PART_BITS = 13
+WINDOW_KEYS = ["session", "slot", "peer"]
+COUNTS = ["n_in", "n_out", "tcp", "udp", "icmp", "syn", "ack", "rst", "fin", "psh", "synack_out", "rst_out"]
+SUMS = ["bytes_in", "bytes_out", "size_sq", "payload_in"]
+PORT_LISTS = {"sports": "int", "sports_n": "long", "dports": "int", "dports_n": "long"}
+NEVER = (1 << 63) - 1
 PORT_FEATURES = {"uniq_sport_in", "uniq_dport_in", "sport_entropy_in", "dport_entropy_in"}
 GAP_FEATURES = {"iat_mean_in", "iat_std_in"}
 
@@ -50,43 +59,6 @@ def _sums(inbound, outbound):
     return counted, summed
 
 
-def port_level(keyed: DataFrame, keys: list, arrival_bits: int) -> DataFrame:
-    """First level on a stream: per window, role and port. Expects `inbound` and packet columns.
-
-    A packet counts as itself, once per port, and as an arrival: arrivals are gathered per
-    chunk of the arrival order (at most 2^bits of them), since a stream cannot order rows.
-    """
-    roles = F.array(F.lit(PACKET), F.lit(ARRIVAL))
-    roles = F.when(F.col("proto") != ICMP, F.concat(roles, F.array(F.lit(SPORT), F.lit(DPORT)))).otherwise(roles)
-    roles = F.when(F.col("inbound"), roles).otherwise(F.array(F.lit(PACKET)))
-    port = (F.when(F.col("role") == SPORT, F.col("sport").cast("bigint"))
-            .when(F.col("role") == DPORT, F.col("dport").cast("bigint"))
-            .when(F.col("role") == ARRIVAL, arrival_chunk(F.col("seq"), arrival_bits)))
-    rows = keyed.withColumn("role", F.explode(roles)).withColumn("port", port)
-    itself = F.col("role") == PACKET
-    counted, summed = _sums(itself & F.col("inbound"), itself & ~F.col("inbound"))
-    arrival = F.when(F.col("role") == ARRIVAL, F.struct("seq", "ts_us"))
-    return rows.groupBy(*keys, "role", "port").agg(
-        F.array_sort(F.collect_list(arrival)).alias("arrivals"),
-        F.count("*").alias("c"),
-        *[F.count_if(cond).alias(name) for name, cond in counted.items()],
-        *[F.sum(value).alias(name) for name, value in summed.items()],
-        F.min(F.when(itself & F.col("inbound"), F.col("size"))).alias("min_size_in"),
-        F.max(F.when(itself & F.col("inbound"), F.col("size"))).alias("max_size_in"))
-
-
-def window_level(ports: DataFrame, keys: list, extra: list = ()) -> DataFrame:
-    """Second level on a stream: totals per window, with distinct ports and the parts of the entropies."""
-    counted, summed = _sums(F.lit(True), F.lit(True))
-    return ports.groupBy(*keys).agg(*extra,
-        *[F.sum(name).alias(name) for name in counted],
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in summed],
-        F.min("min_size_in").alias("min_size_in"),
-        F.max("max_size_in").alias("max_size_in"),
-        *_port_sums(SPORT, DPORT),
-    ).where(F.col("n_in") > 0)
-
-
 def plain_level(keyed: DataFrame, keys: list[str]) -> DataFrame:
     """Totals per window in one aggregation: sums, counts and extremes."""
     inbound = F.col("inbound")
@@ -98,50 +70,191 @@ def plain_level(keyed: DataFrame, keys: list[str]) -> DataFrame:
         F.max(F.when(inbound, F.col("size"))).alias("max_size_in")).where(F.col("n_in") > 0)
 
 
-def _port_sums(role_sport, role_dport):
-    """Distinct ports, their total and sum(c * log2 c), from rows of (role, c)."""
-    c = F.col("c").cast("double")
+def part_schema(ports: bool = True) -> str:
+    """Columns of a part: the window, its first and last arrival, gaps squared in limbs, sums, port counts."""
+    whole = ["first_seq", "first_ts", "last_ts", "sq0", "sq1", "sq2", *COUNTS, *SUMS, "min_size_in", "max_size_in"]
+    lists = [f"{p} array<{kind}>" for p, kind in PORT_LISTS.items()] if ports else []
+    return ", ".join(["session string, slot long, peer string", *[f"{c} long" for c in whole], *lists])
 
-    def of(role, value):
-        return F.when(F.col("role") == role, value)
 
-    return [F.count(of(role_sport, F.lit(1))).alias("uniq_sport_in"),
-            F.count(of(role_dport, F.lit(1))).alias("uniq_dport_in"),
-            F.coalesce(F.sum(of(role_sport, F.col("c"))), F.lit(0)).alias("ports_total"),
-            F.coalesce(F.sum(of(role_sport, c * F.log2(c))), F.lit(0.0)).alias("sport_logs"),
-            F.coalesce(F.sum(of(role_dport, c * F.log2(c))), F.lit(0.0)).alias("dport_logs")]
+def _names(fields: str) -> list[str]:
+    return [f.split()[0] for f in fields.split(", ")]
 
 
-def port_parts(keyed: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct ports and the parts of the entropies of inbound packets that have ports."""
-    ports = keyed.where(F.col("inbound") & (F.col("proto") != ICMP)).select(
-        *keys, F.posexplode(F.array("sport", "dport")).alias("role", "port"))
-    return (ports.groupBy(*keys, "role", "port").agg(F.count("*").alias("c"))
-            .groupBy(*keys).agg(*_port_sums(0, 1)))
+def _limbs(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """gap * gap as three numbers to be weighted by 1, 2^24 and 2^48: exact for windows of up to a year."""
+    high, low = gap >> 24, gap & 0xFFFFFF
+    return low * low, 2 * high * low, high * high
 
 
-def gap_parts(inbound: DataFrame, keys: list[str], bits: int = ARRIVAL_BITS) -> DataFrame:
-    """First and last inbound arrival and the sum of squared gaps, per window.
+def _runs(columns: list[np.ndarray]) -> np.ndarray:
+    """Where the runs of rows with equal columns begin."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
-    The sum of all gaps is last - first; only the squares need neighbours.
-    """
-    chunked = inbound.select(*keys, "seq", "ts_us", arrival_chunk(F.col("seq"), bits).alias("chunk"))
-    gap = F.col("ts_us") - F.lag("ts_us").over(W.partitionBy(*keys, "chunk").orderBy("seq"))
-    chunks = (chunked.withColumn("gap", gap)
-              .groupBy(*keys, "chunk")
-              .agg(F.min_by("ts_us", "seq").alias("first"), F.max_by("ts_us", "seq").alias("last"),
-                   F.sum((F.col("gap") * F.col("gap")).cast("decimal(20,0)")).alias("sq")))
-    step = F.col("first") - F.lag("last").over(W.partitionBy(*keys).orderBy("chunk"))
-    return (chunks.withColumn("step", step)
-            .groupBy(*keys)
-            .agg(F.min_by("first", "chunk").alias("first_ts"), F.max_by("last", "chunk").alias("last_ts"),
-                 (F.coalesce(F.sum("sq"), F.lit(0))
-                  + F.coalesce(F.sum((F.col("step") * F.col("step")).cast("decimal(20,0)")), F.lit(0)))
-                 .cast("double").alias("gap_sq")))
+
+def _codes(strings: pa.Array) -> np.ndarray:
+    return strings.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+
+def _merge(c: dict[str, np.ndarray], starts: np.ndarray) -> dict[str, np.ndarray]:
+    """One part for each run of parts; rows of a run are in the order of their first arrivals, parts without one last."""
+    at, out = np.arange(len(c["n_in"])), {}
+    for name in (*COUNTS, *SUMS):
+        out[name] = np.add.reduceat(c[name], starts)
+    out["min_size_in"] = np.minimum.reduceat(c["min_size_in"], starts)
+    out["max_size_in"] = np.maximum.reduceat(c["max_size_in"], starts)
+    out["first_seq"], out["first_ts"] = c["first_seq"][starts], c["first_ts"][starts]
+    arrived = c["n_in"] > 0
+    last = np.maximum.reduceat(np.where(arrived, at, -1), starts)
+    out["last_ts"] = np.where(last >= 0, c["last_ts"][last], 0)
+    gap = np.zeros(len(at), np.int64)
+    inner = arrived.copy()
+    inner[starts] = False
+    inner = np.flatnonzero(inner)
+    gap[inner] = c["first_ts"][inner] - c["last_ts"][inner - 1]
+    for name, limb in zip(("sq0", "sq1", "sq2"), _limbs(gap)):
+        out[name] = np.add.reduceat(c[name] + limb, starts)
+    return out
+
+
+def _merge_ports(run: np.ndarray, port: np.ndarray, n: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, ports, counts) of every run, from entries (run, port, n)."""
+    key = run << 16 | port
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    counts = np.add.reduceat(n[order], first) if len(first) else n[:0]
+    return np.searchsorted(key[first] >> 16, np.arange(runs + 1)), key[first] & 0xFFFF, counts
+
+
+def _batch(names: list[str], c: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x := c[n], pa.Array) else pa.array(x) for n in names], names)
+
+
+def _packet_columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Every packet as a part of its own."""
+    inbound, seq, ts, size, payload, proto, flags = (
+        batch.column(n).to_numpy(zero_copy_only=False) for n in ("inbound", "seq", "ts_us", "size", "payload", "proto", "flags"))
+    tcp, size = proto == TCP, size.astype(np.int64)
+
+    def tcp_flag(bits, value=None):
+        return tcp & ((flags & bits) == value if value is not None else (flags & bits) != 0)
+    marks = {"n_in": inbound, "n_out": ~inbound, "tcp": inbound & tcp, "udp": inbound & (proto == UDP), "icmp": inbound & (proto == ICMP),
+             "syn": inbound & tcp_flag(SYN | ACK, SYN), "ack": inbound & tcp_flag(ACK), "rst": inbound & tcp_flag(RST),
+             "fin": inbound & tcp_flag(FIN), "psh": inbound & tcp_flag(PSH),
+             "synack_out": ~inbound & tcp_flag(SYN | ACK, SYN | ACK), "rst_out": ~inbound & tcp_flag(RST)}
+    c = {n: m.astype(np.int64) for n, m in marks.items()}
+    c |= {"bytes_in": size * inbound, "bytes_out": size * ~inbound, "size_sq": size * size * inbound,
+          "payload_in": payload.astype(np.int64) * inbound}
+    c |= {"min_size_in": np.where(inbound, size, NEVER), "max_size_in": np.where(inbound, size, -1)}
+    c |= {"first_seq": np.where(inbound, seq, NEVER), "first_ts": ts, "last_ts": ts}
+    return c | {n: np.zeros(len(seq), np.int64) for n in ("sq0", "sq1", "sq2")}
+
+
+def _to_parts(ports: bool):
+    """Packets in the order of (window, chunk, outbound, seq) to parts, one for each window and chunk of a batch."""
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [_codes(batch.column("session")), _codes(batch.column("peer")),
+                   *(batch.column(n).to_numpy() for n in ("slot", "chunk"))]
+            starts, c = _runs(own), _packet_columns(batch)
+            out = _merge(c, starts)
+            if ports:
+                run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+                there = np.flatnonzero(c["n_in"] > c["icmp"])
+                for p in ("sport", "dport"):
+                    values = batch.column(p).to_numpy(zero_copy_only=False)[there].astype(np.int64)
+                    offsets, port, n = _merge_ports(run[there], values, np.ones(len(there), np.int64), len(starts))
+                    out[f"{p}s"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(port, pa.int32()))
+                    out[f"{p}s_n"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(n))
+            for name in ("session", "slot", "peer"):
+                out[name] = batch.column(name).take(pa.array(starts))
+            yield _batch(_names(part_schema(ports)), out)
+    return search
+
+
+def window_parts(keyed: DataFrame, ports: bool = True) -> DataFrame:
+    """Parts of windows. `keyed`: packets with inbound, peer, slot and chunk, dealt so that the rows of a (window,
+    chunk) lie in one partition; parts of a window hold disjoint stretches of the arrival order."""
+    columns = [*WINDOW_KEYS, "chunk", "inbound", "seq", "ts_us", "size", "payload", "proto", "flags", *(("sport", "dport") if ports else ())]
+    rows = keyed.select(*columns).sortWithinPartitions(*WINDOW_KEYS, "chunk", F.col("inbound").desc(), "seq")
+    return rows.mapInArrow(_to_parts(ports), part_schema(ports))
+
+
+def _to_totals(ports: bool, extra: list[str]):
+    """Parts in the order of (window, first arrival) to one row per window; a window cut by batches is carried on."""
+    names = [*_names(part_schema(ports)), *extra]
+    whole = [n for n in names if n not in PORT_LISTS and n not in extra and n not in WINDOW_KEYS]
+
+    def entries(table: pa.RecordBatch, p: str, run: np.ndarray):
+        lists = table.column(p)
+        sizes = np.diff(lists.offsets.to_numpy())
+        return np.repeat(run, sizes), lists.flatten().to_numpy().astype(np.int64), table.column(f"{p}_n").flatten().to_numpy()
+
+    def merged(table: pa.RecordBatch) -> pa.RecordBatch:
+        own = [_codes(table.column("session")), _codes(table.column("peer")), table.column("slot").to_numpy()]
+        starts = _runs(own)
+        out = _merge({n: table.column(n).to_numpy() for n in whole}, starts)
+        if ports:
+            run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+            for p in ("sports", "dports"):
+                offsets, port, n = _merge_ports(*entries(table, p, run), len(starts))
+                out[p] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(port, pa.int32()))
+                out[f"{p}_n"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(n))
+        for name in (*WINDOW_KEYS, *extra):
+            out[name] = table.column(name).take(pa.array(starts))
+        return _batch(names, out)
+
+    def finish(table: pa.RecordBatch) -> pa.RecordBatch:
+        c = {n: table.column(n) for n in (*WINDOW_KEYS, *extra)} | {n: table.column(n).to_numpy() for n in whole}
+        c["gap_sq"] = c["sq0"].astype(np.float64) + c["sq1"] * 2.0 ** 24 + c["sq2"] * 2.0 ** 48
+        c["ports_total"] = c["n_in"] - c["icmp"]
+        for p in ("sport", "dport") if ports else ():
+            sizes = np.diff(table.column(f"{p}s").offsets.to_numpy())
+            n = table.column(f"{p}s_n").flatten().to_numpy().astype(np.float64)
+            c[f"uniq_{p}_in"] = sizes.astype(np.int64)
+            c[f"{p}_logs"] = np.bincount(np.repeat(np.arange(len(sizes)), sizes), n * np.log2(n), len(sizes)).astype(np.float64)
+        keep = pa.array(c["n_in"] > 0)
+        return _batch(_names(_totals_schema(ports)) + extra, c).filter(keep)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            found = merged(batch)
+            held = found.slice(found.num_rows - 1)
+            if found.num_rows > 1:
+                yield finish(merged(found.slice(0, found.num_rows - 1)))
+        if held is not None:
+            yield finish(merged(held))
+    return search
+
+
+def _totals_schema(ports: bool) -> str:
+    whole = ["first_ts", "last_ts", *COUNTS, *SUMS, "min_size_in", "max_size_in", "ports_total"]
+    found = [f"uniq_{p}_in long, {p}_logs double" for p in ("sport", "dport")] if ports else []
+    return ", ".join(["session string, slot long, peer string", *[f"{c} long" for c in whole], "gap_sq double", *found])
+
+
+def merge_parts(parts: DataFrame, ports: bool = True, extra: dict[str, str] | None = None) -> DataFrame:
+    """Totals per window from its parts; windows without inbound packets go. `extra` names columns (and their types)
+    that are alike in all parts of a window and stay."""
+    extra = extra or {}
+    rows = parts.select(*_names(part_schema(ports)), *extra).repartition(*WINDOW_KEYS).sortWithinPartitions(*WINDOW_KEYS, "first_seq")
+    return rows.mapInArrow(_to_totals(ports, list(extra)), ", ".join([_totals_schema(ports), *[f"{c} {t}" for c, t in extra.items()]]))
 
 
 def feature_columns(features: list[str] = FEATURES):
-    """Feature expressions over the totals of window_level (or plain_level) and gap_parts."""
+    """Feature expressions over the totals of merge_parts (or plain_level)."""
     n, gaps = F.col("n_in"), F.col("n_in") - 1
     total = (F.col("last_ts") - F.col("first_ts")).cast("double")
     mean_us = share(total, gaps)
@@ -163,26 +276,34 @@ def feature_columns(features: list[str] = FEATURES):
     return [values[f].alias(f) if f in values else F.col(f).cast("bigint").alias(f) for f in features]
 
 
+def keyed_packets(packets: DataFrame, protected: list[str], window_s: float = WINDOW_SECONDS,
+                  bits: int = PART_BITS) -> DataFrame:
+    """Packets of protected hosts with their peer, slot and arrival chunk."""
+    return with_slot(direction(packets, protected), window_s).withColumn("chunk", arrival_chunk(F.col("seq"), bits))
+
+
+def finished(totals: DataFrame, window_s: float = WINDOW_SECONDS, features: list[str] = FEATURES, extra: list = ()) -> DataFrame:
+    return totals.select("session", slot_start(F.col("slot"), window_s).alias("window_start"),
+                         F.col("peer").alias("peer_ip"), *feature_columns(features), *extra)
+
+
 def peer_windows(packets: DataFrame, protected: list[str], window_s: float = WINDOW_SECONDS,
-                 bits: int = ARRIVAL_BITS, features: list[str] = FEATURES) -> DataFrame:
+                 bits: int = PART_BITS, features: list[str] = FEATURES, drop_late: bool = False) -> DataFrame:
     """One row per (session, slot, peer) that sent at least one packet to a protected host.
 
-    Late packets are expected to be gone (packets.drop_late) where arrival is disordered.
-    A caller that needs fewer features pays for fewer passes.
+    `drop_late` leaves out packets whose slot had closed when they arrived; their rows are dealt by
+    arrival chunk then, and nothing is dealt again for the windows. A caller that needs neither ports
+    nor gaps gets plain sums, combined before the shuffle.
     """
-    if window_s > MAX_WINDOW_SECONDS:
-        raise ValueError(f"windows of more than {MAX_WINDOW_SECONDS} s: squared gaps would not fit 64 bits")
-    keys = ["session", "slot", "peer"]
-    keyed = with_slot(direction(packets, protected), window_s)
-    totals = plain_level(keyed, keys)
-    if any(f in PORT_FEATURES for f in features):
-        totals = totals.join(port_parts(keyed, keys), keys, "left").fillna(
-            {"uniq_sport_in": 0, "uniq_dport_in": 0, "ports_total": 0, "sport_logs": 0.0, "dport_logs": 0.0})
-    if any(f in GAP_FEATURES for f in features):
-        totals = totals.join(gap_parts(keyed.where("inbound"), keys, bits), keys)
-    return totals.select(
-        "session", slot_start(F.col("slot"), window_s).alias("window_start"),
-        F.col("peer").alias("peer_ip"), *feature_columns(features))
+    ports = bool(PORT_FEATURES & set(features))
+    if drop_late:
+        packets = mark_late(packets, window_s, bits).where(~F.col("late")).drop("late")
+    keyed = keyed_packets(packets, protected, window_s, bits)
+    if not ports and not GAP_FEATURES & set(features):
+        return finished(plain_level(keyed, WINDOW_KEYS), window_s, features)
+    if not drop_late:
+        keyed = keyed.repartition(*WINDOW_KEYS, "chunk")
+    return finished(merge_parts(window_parts(keyed, ports), ports), window_s, features)
 
 
 def window_ends(packets: DataFrame, window_s: float = WINDOW_SECONDS) -> DataFrame:

@@ -26,13 +26,17 @@ def flow_features(packets: Column, frame_bytes: Column, pairflow: Column, proto:
     return [values[f].alias(f) for f in FLOW_FEATURES]
 
 
-def flow_totals(keyed: DataFrame, keys: list[str]) -> DataFrame:
-    """Counters per flow; both directions share one group, so the reverse flow needs no join."""
+def flow_totals(keyed: DataFrame, keys: list[str], whole: bool = True) -> DataFrame:
+    """Counters per flow; both directions share one group, so the reverse flow needs no join.
+
+    `whole`: the rows are all of the flow's, so flows without inbound packets go.
+    """
     frame = F.col("size").cast("bigint") + FLOW_HEADER_BYTES
-    return keyed.groupBy(*keys).agg(
+    totals = keyed.groupBy(*keys).agg(
         F.count_if(F.col("inbound")).alias("n"),
         F.sum(F.when(F.col("inbound"), frame)).alias("frame_bytes"),
-        F.max((~F.col("inbound")).cast("int")).alias("reverse")).where(F.col("n") > 0)
+        F.max((~F.col("inbound")).cast("int")).alias("reverse"))
+    return totals.where(F.col("n") > 0) if whole else totals
 
 
 def flow_view(packets: DataFrame, protected: list[str], interval_s: float = FLOW_SECONDS) -> DataFrame:

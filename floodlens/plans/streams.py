@@ -5,31 +5,61 @@ from floodlens.operators.peer_windows import peer_windows
 from floodlens.plans.detector import BLOCK_S, DECIDED, SCORED_SQL, STREAK_SQL, WIN, novel_rows, scored_windows
 from floodlens.plans.packet_view import DIR_SQL, SERVER, WINDOWS_OUT_SQL, packets, pk_sql, win_sql, windows_out
 from floodlens.plans.registry import query
-from floodlens.plans.windows import FLOW_SQL, FLOWS_OUT_SQL, flows_out
+from floodlens.plans.windows import ARRIVAL_BITS_JITTERED, FLOW_SQL, FLOWS_OUT_SQL, JITTER_SQL, flows_out, jittered
 from floodlens.schemas import PACKETS
-from floodlens.session import shared_dir
+from floodlens.session import materialise, shared_dir
 from floodlens.sources.readers import stream_detector_log
 from floodlens.streaming import decisions as D
 from floodlens.streaming import windows as S
 from floodlens.streaming.detector import LiveDetector
 from floodlens.streaming.jobs import drain, drain_batches, replay
 
-CUT_US = [180_500_000]      # the packets arrive in two parts, cut inside a window
+ALL_SESSIONS = 2
 
 
-def packet_stream(spark, sf, job):
-    p = packets(spark, sf).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PACKETS.fields])
-    return replay(p, "ts_us", CUT_US, job, S.end_marker(p, [SERVER]))
+def live_windows(spark, sf, rows, view, cuts=2, bits=S.PART_BITS):
+    """The packets as a stream in `cuts` + 1 parts, cut inside windows; a restarted detector takes over for each."""
+    rows = materialise(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PACKETS.fields]), "packets")
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    folder, source, state = (shared_dir(spark, f"windows-{n}") for n in ("out", "in", "state"))
+    edges = [low + (high - low) * i // (cuts + 1) for i in range(1, cuts + 1)]
+    live = None
+    for i, (start, end) in enumerate(zip([None, *edges], [*edges, None])):
+        part = rows if start is None else rows.where(F.col("seq") >= start)
+        (part if end is None else part.where(F.col("seq") < end)).write.mode("append").parquet(source)
+        live = S.LiveWindows(spark, folder, [SERVER], view, bits)
+        drain_batches(spark.readStream.schema(rows.schema).parquet(source), live.process, state)
+    live.flush()
+    return live
 
 
-@query("stream_windows", f"WITH {pk_sql()}, {DIR_SQL}, {win_sql()} SELECT {WINDOWS_OUT_SQL} FROM win")
+@query("stream_windows", f"WITH {pk_sql(ALL_SESSIONS)}, {DIR_SQL}, {win_sql()} SELECT {WINDOWS_OUT_SQL} FROM win")
 def q_stream_windows(spark, sf):
-    return windows_out(packet_stream(spark, sf, lambda s: S.stream_peer_windows(s, [SERVER])))
+    return windows_out(live_windows(spark, sf, packets(spark, sf, ALL_SESSIONS), S.peer_view(), cuts=1).table("windows"))
 
 
-@query("stream_flows", f"WITH {pk_sql()}, {DIR_SQL}, {FLOW_SQL} SELECT {FLOWS_OUT_SQL} FROM flow")
+JITTERED = f"""WITH {pk_sql(ALL_SESSIONS)}, {JITTER_SQL},
+slotted AS (SELECT *, ts_us // 1000000 < max(ts_us // 1000000) OVER (PARTITION BY session ORDER BY seq) AS late FROM jit)"""
+
+
+@query("stream_windows_late", f"""{JITTERED}, kept AS (SELECT * FROM slotted WHERE NOT late),
+{DIR_SQL.replace('FROM pk', 'FROM kept')}, {win_sql()} SELECT {WINDOWS_OUT_SQL} FROM win""")
+def q_stream_windows_late(spark, sf):
+    """Disordered arrival in two sessions: each is held against its own open slot, over three micro-batches."""
+    rows = jittered(spark, sf, ALL_SESSIONS)
+    return windows_out(live_windows(spark, sf, rows, S.peer_view(), bits=ARRIVAL_BITS_JITTERED).table("windows"))
+
+
+@query("stream_late", f"""{JITTERED}
+SELECT session, CAST(count(*) AS BIGINT) AS packets, CAST(count(*) FILTER (late) AS BIGINT) AS late FROM slotted GROUP BY session""")
+def q_stream_late(spark, sf):
+    rows = jittered(spark, sf, ALL_SESSIONS)
+    return live_windows(spark, sf, rows, S.peer_view(features=["n_in"]), bits=ARRIVAL_BITS_JITTERED).late()
+
+
+@query("stream_flows", f"WITH {pk_sql(ALL_SESSIONS)}, {DIR_SQL}, {FLOW_SQL} SELECT {FLOWS_OUT_SQL} FROM flow")
 def q_stream_flows(spark, sf):
-    return flows_out(packet_stream(spark, sf, lambda s: S.stream_flows(s, [SERVER])))
+    return flows_out(live_windows(spark, sf, packets(spark, sf, ALL_SESSIONS), S.flow_view(), cuts=1).table("windows"))
 
 
 def scored_stream_rows(spark, sf):

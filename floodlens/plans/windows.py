@@ -20,7 +20,7 @@ JITTER_SQL = """jit AS (SELECT * EXCLUDE (seq), row_number() OVER (ORDER BY
 ARRIVAL_BITS_JITTERED = 41
 
 
-def jittered(spark, sf):
+def jittered(spark, sf, sessions=1):
     """Packets whose arrival is disturbed: one in twenty is delayed by 1.5 s.
 
     The arrival number only has to be unique and ordered, so it is built without a sort:
@@ -29,7 +29,7 @@ def jittered(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").select(
         F.col("event_id").alias("seq"), (F.get_json_object("props", "$.k").cast("int") % 20).alias("k20"))
     delayed = F.col("ts_us") + F.when(F.col("k20") == 0, 1_500_000).otherwise(0)
-    return (packets(spark, sf).join(events, "seq")
+    return (packets(spark, sf, sessions).join(events, "seq")
             .withColumn("arrival", F.shiftleft(delayed, 24) + F.col("seq"))
             .drop("seq", "k20").withColumnRenamed("arrival", "seq"))
 
@@ -67,8 +67,14 @@ kept AS (SELECT * FROM (SELECT *, max(ts_us // 1000000) OVER (ORDER BY seq) AS o
 {DIR_SQL.replace('FROM pk', 'FROM kept')}, {win_sql()}
 SELECT {WINDOWS_OUT_SQL} FROM win""")
 def q_peer_windows_late(spark, sf):
-    return windows_out(peer_windows(P.drop_late(jittered(spark, sf), bits=ARRIVAL_BITS_JITTERED), [SERVER],
-                                    bits=ARRIVAL_BITS_JITTERED))
+    return windows_out(peer_windows(jittered(spark, sf), [SERVER], bits=ARRIVAL_BITS_JITTERED, drop_late=True))
+
+
+@query("late_counts", f"""WITH {pk_sql(3)}, {JITTER_SQL}
+SELECT session, CAST(count(*) AS BIGINT) AS packets, CAST(count(*) FILTER (late) AS BIGINT) AS late FROM (
+  SELECT session, ts_us // 1000000 < max(ts_us // 1000000) OVER (PARTITION BY session ORDER BY seq) AS late FROM jit) GROUP BY session""")
+def q_late_counts(spark, sf):
+    return P.late_counts(jittered(spark, sf, 3), bits=ARRIVAL_BITS_JITTERED)
 
 
 @query("window_close", f"""WITH {pk_sql()},

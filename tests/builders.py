@@ -62,3 +62,8 @@ def pcapng(records, order="<", units=1_000_000, tsresol=None, linktype=1):
         out += block(6, struct.pack(order + "5I", 0, t >> 32, t & 0xFFFFFFFF, len(data), len(data)) + data, order)
         out += block(3, struct.pack(order + "I", len(data)) + data, order)     # simple packet: no time, skipped
     return out
+
+
+def packets_df(spark, rows):
+    """Packets with their own sessions and arrival numbers."""
+    return spark.createDataFrame(rows, PACKETS)
