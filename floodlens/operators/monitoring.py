@@ -98,18 +98,21 @@ def settings(log: DataFrame) -> DataFrame:
             .agg(F.max_by(F.struct(*SETTINGS), F.coalesce("ts", F.lit(0.0))).alias("s")).select("s.*"))
 
 
-def minute_stats(scored: DataFrame, packets: DataFrame, blocks: DataFrame, retrained: DataFrame,
+def packets_per_minute(packets: DataFrame, every_s: float = 60.0) -> DataFrame:
+    return packets.groupBy(F.floor(F.col("ts_us") / (every_s * 1e6)).cast("bigint").alias("minute")).agg(
+        F.count("*").alias("packets"))
+
+
+def minute_stats(scored: DataFrame, arrived: DataFrame, blocks: DataFrame, retrained: DataFrame,
                  calibrated_at: float | None = None, every_s: float = 60.0) -> DataFrame:
     """Per minute: packets, windows, flagged; at its end: active blocks, model version, calibrated.
 
-    `scored` holds now and flagged, `packets` ts_us, `blocks` peer_ip, ts and seconds,
+    `scored` holds now and flagged, `arrived` minute and packets, `blocks` peer_ip, ts and seconds,
     `retrained` ts and version.
     """
     minute = F.floor(F.col("now") / every_s).cast("bigint")
     counted = scored.groupBy(minute.alias("minute")).agg(
         F.count("*").alias("windows"), F.count_if(F.col("flagged")).alias("flagged"))
-    arrived = packets.groupBy(F.floor(F.col("ts_us") / (every_s * 1e6)).cast("bigint").alias("minute")).agg(
-        F.count("*").alias("packets"))
     ends = counted.join(arrived, "minute", "full").withColumn("end", (F.col("minute") + 1) * every_s)
     # a block is active at every minute end it covers: seconds / every_s of them
     first = F.ceil(F.col("ts") / every_s)

@@ -440,7 +440,7 @@ def q_minute_stats(spark, sf):
     scored = stored_scores(spark, sf)
     log = detector_log(spark, sf, scored)
     blocks = log.where("event = 'block'").select(F.col("peer").alias("peer_ip"), "ts", "seconds")
-    return D.minute_stats(scored, packets(spark, sf), blocks,
+    return D.minute_stats(scored, D.packets_per_minute(packets(spark, sf)), blocks,
                           log.where("event = 'retrained'").select("ts", "version"), 59.0)
 
 

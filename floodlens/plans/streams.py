@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from floodlens.operators.peer_windows import peer_windows
-from floodlens.plans.detector import BLOCK_S, DECIDED, SCORED_SQL, STREAK_SQL, WIN, novel_rows, scored_windows
+from floodlens.plans.detector import BLOCK_S, BLOCKS_SQL, DECIDED, SCORED_SQL, STREAK_SQL, WIN, novel_rows, scored_windows
 from floodlens.plans.packet_view import DIR_SQL, SERVER, WINDOWS_OUT_SQL, packets, pk_sql, win_sql, windows_out
 from floodlens.plans.registry import query
 from floodlens.plans.windows import ARRIVAL_BITS_JITTERED, FLOW_SQL, FLOWS_OUT_SQL, JITTER_SQL, flows_out, jittered
@@ -11,10 +11,12 @@ from floodlens.session import materialise, shared_dir
 from floodlens.sources.readers import stream_detector_log
 from floodlens.streaming import decisions as D
 from floodlens.streaming import windows as S
+from floodlens.streaming.chain import LiveChain
 from floodlens.streaming.detector import LiveDetector
 from floodlens.streaming.jobs import drain, drain_batches, replay
 
 ALL_SESSIONS = 2
+LIVE = ["n_in", "bytes_in"]
 
 
 def live_windows(spark, sf, rows, view, cuts=2, bits=S.PART_BITS):
@@ -62,6 +64,44 @@ def q_stream_flows(spark, sf):
     return flows_out(live_windows(spark, sf, packets(spark, sf, ALL_SESSIONS), S.flow_view(), cuts=1).table("windows"))
 
 
+CHAIN_SCORED = SCORED_SQL.replace("(w.n_in >= 3 OR uniq_sport_in >= 3) AS flagged", "w.n_in >= 3 AS flagged")
+CHAIN = f"WITH RECURSIVE {pk_sql(ALL_SESSIONS)}, {DIR_SQL}, {win_sql()}, {CHAIN_SCORED}, {BLOCKS_SQL}"
+
+
+def live_chain(spark, sf):
+    """Packets of two sessions in three micro-batches, each taken up by a new driver from what the last one wrote."""
+    rows = materialise(packets(spark, sf, ALL_SESSIONS).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in PACKETS.fields]), "packets")
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    folder, source, state = (shared_dir(spark, f"chain-{n}") for n in ("out", "in", "state"))
+    rule = lambda r: r.withColumn("score", F.least(F.col("n_in") / F.lit(5.0), F.lit(1.0)))
+    cuts = [low + (high - low) * i // 3 for i in (1, 2)]
+    for start, end in zip([low, *cuts], [*cuts, high + 1]):
+        rows.where((F.col("seq") >= start) & (F.col("seq") < end)).write.mode("append").parquet(source)
+        chain = LiveChain(spark, folder, [SERVER], LIVE, rule, F.col("bytes_in") % 7 != 0, 2, BLOCK_S, ["10.0.0.25"])
+        drain_batches(spark.readStream.schema(rows.schema).parquet(source), chain.process, state)
+    chain.flush()
+    return chain
+
+
+@query("live_chain", f"{CHAIN} SELECT * FROM actions")
+def q_live_chain(spark, sf):
+    return live_chain(spark, sf).actions()
+
+
+@query("live_chain_minutes", f"""{CHAIN},
+m AS (SELECT CAST(floor(now / 60) AS BIGINT) AS minute, count(*) AS windows, count(*) FILTER (flagged) AS flagged FROM scored GROUP BY 1),
+p AS (SELECT CAST(floor(ts_us / 60e6) AS BIGINT) AS minute, count(*) AS packets FROM pk GROUP BY 1)
+SELECT coalesce(m.minute, p.minute) AS minute, CAST(coalesce(packets, 0) AS BIGINT) AS packets,
+  CAST(coalesce(windows, 0) AS BIGINT) AS windows, CAST(coalesce(flagged, 0) AS BIGINT) AS flagged,
+  CAST((SELECT count(DISTINCT peer_ip) FROM actions WHERE event = 'block' AND ts <= (coalesce(m.minute, p.minute) + 1) * 60
+    AND ts + seconds > (coalesce(m.minute, p.minute) + 1) * 60) AS BIGINT) AS blocks_active,
+  CAST(0 AS INT) AS model_version, false AS calibrated
+FROM m FULL JOIN p ON m.minute = p.minute""")
+def q_live_chain_minutes(spark, sf):
+    return live_chain(spark, sf).minutes()
+
+
 def scored_stream_rows(spark, sf):
     return scored_windows(spark, sf).select("session", "peer_ip", "window_start", "now", "flagged", "score", "action_ok")
 
@@ -89,9 +129,6 @@ def q_stream_minute(spark, sf):
     return replay(rows, "now", [200.0], D.stream_minute_stats, end)
 
 
-LIVE = ["n_in", "bytes_in"]
-
-
 @query("stream_score", f"""{WIN}
 SELECT session, window_start, peer_ip, n_in, least(n_in / CAST(5 AS DOUBLE), 1) AS score, CAST(0 AS INT) AS novel,
   CAST(n_in / CAST(5 AS DOUBLE) >= 0.5 AS INT) AS flagged, CAST(0 AS INT) AS model_version FROM win WHERE bytes_in % 11 <> 0""")

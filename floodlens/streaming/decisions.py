@@ -28,41 +28,78 @@ def _run_positions(flag: np.ndarray, broken: np.ndarray, carried: int) -> np.nda
     return np.where(flag, at + 1 - np.maximum.accumulate(begin), 0)
 
 
-def stream_block_decisions(scored: DataFrame, consecutive: int = 2, seconds: float = 60.0,
-                           whitelist: list[str] = ()) -> DataFrame:
-    """Block and error actions as windows arrive; state per peer: run length and end of the block.
+def decide_peer(rows: pd.DataFrame, run: int, until: float, consecutive: int, seconds: float,
+                spared: bool) -> tuple[pd.DataFrame, int, float]:
+    """One peer's actions on windows in time order, and its state after them: run length and end of its block.
 
-    A micro-batch is cut at the blocks it sets: between two of them, runs and candidates are found at once.
+    The rows are cut at the blocks they set: between two of them, runs and candidates are found at once.
     """
+    rest, found = rows, []
+    while len(rest):
+        counted = rest["flagged"].to_numpy(bool) & (rest["now"].to_numpy() >= until)
+        position = _run_positions(counted, np.zeros(len(rest), bool), run)
+        candidates = rest.assign(windows=position)[(position >= consecutive) & (not spared)]
+        works = np.flatnonzero(candidates["action_ok"].to_numpy(bool))
+        tried = candidates if not len(works) else candidates.iloc[:works[0] + 1]
+        found.append(tried)
+        if not len(works):
+            run = int(position[-1])
+            break
+        set_at = candidates.index[works[0]]
+        run, until = 0, float(rest.loc[set_at, "now"]) + seconds
+        rest = rest.loc[set_at:].iloc[1:]
+    actions = pd.concat(found) if found else rows.assign(windows=0)
+    ok = actions["action_ok"].to_numpy(bool)
+    out = pd.DataFrame(dict(zip(ACTIONS.names, (
+        actions["session"], actions["peer_ip"], np.where(ok, "block", "error"), actions["now"], actions["score"],
+        actions["windows"], np.where(ok, seconds, np.nan)))), index=actions.index)
+    return out.replace({np.nan: None}), run, until
+
+
+def stream_block_decisions(scored: DataFrame, consecutive: int = 2, seconds: float = 60.0,
+                           whitelist: list[str] = ()) -> DataFrame:
+    """Block and error actions as windows arrive; state per peer: run length and end of the block."""
     spared = list(whitelist)
 
     def decide(key, frames, state: GroupState):
         run, until = state.get if state.exists else (0, float("-inf"))
-        rest, found = _in_order(frames), []
-        while len(rest):
-            counted = rest["flagged"].to_numpy(bool) & (rest["now"].to_numpy() >= until)
-            position = _run_positions(counted, np.zeros(len(rest), bool), run)
-            candidates = rest.assign(windows=position)[(position >= consecutive) & (key[1] not in spared)]
-            works = np.flatnonzero(candidates["action_ok"].to_numpy(bool))
-            tried = candidates if not len(works) else candidates.iloc[:works[0] + 1]
-            found.append(tried)
-            if not len(works):
-                run = int(position[-1])
-                break
-            set_at = candidates.index[works[0]]
-            run, until = 0, float(rest.loc[set_at, "now"]) + seconds
-            rest = rest.loc[set_at:].iloc[1:]
+        rows = _in_order(frames).assign(session=key[0], peer_ip=key[1])
+        actions, run, until = decide_peer(rows, run, until, consecutive, seconds, key[1] in spared)
         state.update((run, until))
-        actions = pd.concat(found) if found else rest.assign(windows=0)
-        ok = actions["action_ok"].to_numpy(bool)
-        yield pd.DataFrame(dict(zip(ACTIONS.names, (
-            key[0], key[1], np.where(ok, "block", "error"), actions["now"], actions["score"], actions["windows"],
-            np.where(ok, seconds, np.nan)))), index=actions.index).replace({np.nan: None})
+        yield actions
 
     return scored.groupBy("session", "peer_ip").applyInPandasWithState(
         decide, ACTIONS, "streak int, until double", "append", GroupStateTimeout.NoTimeout)
 
 
+PEERS = "session string, peer_ip string, streak int, until double"
+
+
+def carried_decisions(scored: DataFrame, peers: DataFrame, consecutive: int = 2, seconds: float = 60.0,
+                      whitelist: list[str] = ()) -> DataFrame:
+    """Actions on one micro-batch of scored windows, and every peer's state after it, told apart by `kind`.
+
+    `peers` is the state before it. Peers without windows keep theirs; a peer without a run whose block is over
+    needs none, and leaves the table once its session's decisions have come that far.
+    """
+    spared = list(whitelist)
+    names = [*ACTIONS.names, "kind", "streak", "until"]
+
+    def decide(key, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        run, until = (int(state["streak"].iloc[0]), float(state["until"].iloc[0])) if len(state) else (0, float("-inf"))
+        actions, run, until = decide_peer(rows.sort_values("window_start", kind="stable", ignore_index=True), run, until,
+                                          consecutive, seconds, key[1] in spared)
+        after = pd.DataFrame([(*key, "state", run, until)], columns=["session", "peer_ip", "kind", "streak", "until"])
+        return pd.concat([actions.assign(kind="action"), after]).reindex(columns=names).replace({np.nan: None})
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ACTIONS.fields) + ", kind string, streak int, until double"
+    both = scored.select("session", "peer_ip", "window_start", "now", "flagged", "score", "action_ok").groupBy("session", "peer_ip").cogroup(
+        peers.groupBy("session", "peer_ip")).applyInPandas(decide, schema)
+    clock = scored.groupBy("session").agg(F.max("now").alias("_clock"))
+    over = (F.col("kind") == "state") & (F.col("streak") == 0) & (F.col("until") <= F.coalesce("_clock", F.lit(float("-inf"))))
+    return both.join(clock, "session", "left").where(~over).drop("_clock")
+
+
 def stream_pseudo_labels(observed: DataFrame, consecutive: int = CONSECUTIVE,
                          window_s: float = WINDOW_SECONDS) -> DataFrame:
     """Kind of every window (benign, attack or null); state per peer: run length and last window."""

@@ -15,6 +15,8 @@ from floodlens.schemas import WINDOW_SECONDS
 from floodlens.streaming.jobs import batch_path, read_batches
 
 KEY = ["session", "window_start", "peer_ip"]
+# Attempts of a micro-batch that may fail before the rest of its failing pieces is given up as error rows
+MAX_FAILURES = 64
 
 
 def split_scorable(windows: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -66,14 +68,8 @@ class LiveDetector:
 
     def _process(self, windows: DataFrame, batch: int) -> None:
         good, errors = split_scorable(windows, self.features)
+        errors = self._score_all(good, errors, batch)
         self._write(errors, "errors", batch)
-        scored = self.score_rows(good).withColumn("sup", above(F.col("score"), self.threshold))
-        scored = (self.novelty.flag(scored) if self.novelty is not None
-                  else scored.withColumn("novel", F.lit(False)))
-        scored = (scored.withColumn("flagged", hybrid_flag(F.col("sup"), F.col("novel"), self.hybrid))
-                  .withColumn("model_version", F.lit(self.version)).withColumn("observed", F.lit(self.novelty is not None)))
-        self._write(scored.select(*KEY, "now", *self.features, "score", "sup", "novel", "flagged", "model_version", "observed"),
-                    "scored", batch)
         began, now = self.spark.read.parquet(batch_path(f"{self.folder}/scored", batch)).agg(F.min("now"), F.max("now")).first()
         if now is None:
             return
@@ -84,6 +80,51 @@ class LiveDetector:
             self._observe(batch)
             self._retrain(batch, now)
 
+    def _scored(self, rows: DataFrame) -> DataFrame:
+        scored = self.score_rows(rows).withColumn("sup", above(F.col("score"), self.threshold))
+        scored = (self.novelty.flag(scored) if self.novelty is not None
+                  else scored.withColumn("novel", F.lit(False)))
+        scored = (scored.withColumn("flagged", hybrid_flag(F.col("sup"), F.col("novel"), self.hybrid))
+                  .withColumn("model_version", F.lit(self.version)).withColumn("observed", F.lit(self.novelty is not None)))
+        return scored.select(*KEY, "now", *self.features, "score", "sup", "novel", "flagged", "model_version", "observed")
+
+    def _score_all(self, good: DataFrame, errors: DataFrame, batch: int) -> DataFrame:
+        """Write the scores of `good`; returns `errors` with the rows that the scorer fails on.
+
+        A batch that fails is halved by a hash of its keys until the failing rows stand alone, so one bad row
+        costs one error row and a handful of short jobs. A scorer that fails everywhere is not asked about every
+        row: after MAX_FAILURES attempts the pieces that are left become error rows as they are.
+        """
+        try:
+            self._write(self._scored(good), "scored", batch)
+            return errors
+        except Exception:
+            place, failures, open_, done, failed = F.xxhash64(*KEY), 1, [(1, 0), (1, 1)], [], {}
+        while open_:
+            bits, value = open_.pop()
+            piece = good.where(F.pmod(place, F.lit(1 << bits)) == value)
+            try:
+                path = f"{self.folder}/pieces/batch={batch}/{bits}-{value}"
+                self._scored(piece).write.mode("overwrite").parquet(path)
+                done.append(path)
+            except Exception as e:
+                failures += 1
+                if failures >= MAX_FAILURES or bits >= 40 or piece.limit(2).count() < 2:
+                    failed[bits, value] = e
+                else:
+                    open_ += [(bits + 1, value), (bits + 1, value + (1 << bits))]
+        whole = self.spark.read.parquet(*done) if done else self._nothing_scored(good)
+        self._write(whole, "scored", batch)
+        for (bits, value), e in failed.items():
+            errors = errors.unionByName(good.where(F.pmod(place, F.lit(1 << bits)) == value).select(
+                *KEY, F.lit("error").alias("event"), F.lit(f"scoring failed: {type(e).__name__}").alias("error")))
+        return errors
+
+    def _nothing_scored(self, good: DataFrame) -> DataFrame:
+        no = F.lit(False)
+        return good.limit(0).select(*KEY, "now", *self.features, F.lit(0.0).alias("score"), no.alias("sup"), no.alias("novel"),
+                                    no.alias("flagged"), F.lit(self.version).alias("model_version"), no.alias("observed"))
+
     def scores(self) -> DataFrame:
         """The table a scores sink holds."""
         return self.table("scored").select(

@@ -54,7 +54,7 @@ class LiveWindows:
     """Windows of a packet stream, closed session by session; call `process` for every micro-batch.
 
     Tables under `folder`, a folder per batch: `windows` (closed rows with `now`, the time of the packet
-    that closed them, in seconds), `late` (session, packets, late), `slots` (session, slot, opened_us,
+    that closed them, in seconds), `late` (session, minute, packets, late), `slots` (session, slot, opened_us,
     first_seq, final_us, final_seq, closed_us) and `parts`; those with a null closed_us are the state.
     """
 
@@ -91,7 +91,8 @@ class LiveWindows:
         opened, kept = self._state("slots", before), self._state("parts", before)
         marked = mark_late(packets, self.view.window_s, self.bits, opened).persist()
         try:
-            self._write(marked.groupBy("session").agg(F.count("*").alias("packets"), F.count_if("late").alias("late")), "late", batch)
+            minute = F.floor(F.col("ts_us") / 60_000_000).cast("bigint").alias("minute")
+            self._write(marked.groupBy("session", minute).agg(F.count("*").alias("packets"), F.count_if("late").alias("late")), "late", batch)
             fresh = with_slot(marked.where(~F.col("late")), self.view.window_s)
             slots = fresh.groupBy("session", "slot").agg(
                 F.min_by("ts_us", "seq").alias("opened_us"), F.min("seq").alias("first_seq"),

@@ -106,3 +106,73 @@ def test_windows_take_one_scan_and_late_ones_two(spark, tmp_path):
         return text.count("FileScan parquet"), text.count("Exchange hashpartitioning")
     assert plan(peer_windows(rows, [V])) == (1, 2)  # packets once, parts once
     assert plan(peer_windows(rows, [V], drop_late=True))[0] == 2
+
+
+FEATURES = ["n_in", "bytes_in"]
+
+
+def rule(rows):
+    return rows.withColumn("score", (F.col("n_in") / 4.0))
+
+
+@pytest.mark.parametrize("seed", [6])
+def test_chain_equals_block_decisions_on_the_same_packets(spark, tmp_path, seed):
+    from floodlens.operators.mitigation import block_decisions
+    from floodlens.operators.monitoring import minute_stats, packets_per_minute
+    from floodlens.operators.packets import drop_late
+    from floodlens.operators.peer_windows import window_ends
+    from floodlens.streaming.chain import LiveChain
+    rows = traffic(spark, seed, 900)
+    works = F.col("bytes_in") % 3 != 0
+    source, folder, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for low, high in [(0, 200), (200, 640), (640, 900)]:
+        rows.where((F.col("seq") >= low) & (F.col("seq") < high)).write.mode("append").parquet(source)
+        chain = LiveChain(spark, folder, [V], FEATURES, rule, works, 2, 3.0, [HOSTS[0]], bits=4)
+        drain_batches(spark.readStream.schema(rows.schema).parquet(source), chain.process, state)
+        chain.process(rows.where((F.col("seq") >= low) & (F.col("seq") < high)), chain.windows.last)  # a batch that is run again
+    chain.flush()
+    kept = drop_late(rows)
+    w = peer_windows(kept, [V], features=FEATURES).join(window_ends(kept), ["session", "window_start"])
+    scored = rule(w).withColumnRenamed("closed_at", "now").withColumn("flagged", F.col("score") >= 0.5).withColumn("action_ok", works)
+    expected = block_decisions(scored, 2, 3.0, [V, HOSTS[0]])
+    kinds = {r["event"] for r in expected.collect()}
+    assert kinds == {"block", "error"}
+    same(expected, chain.actions())
+    blocks = expected.where("event = 'block'")
+    versions = spark.createDataFrame([], "ts double, version int")
+    same(minute_stats(scored, packets_per_minute(rows), blocks, versions), chain.minutes())
+    # peers whose block is over and that have no run are not kept
+    state = chain._table("decided").where("kind = 'state'").orderBy(F.desc("batch"))
+    assert state.where("streak = 0 and until < 0").count() == 0
+
+
+def failing(bad, calls=None):
+    @F.udf("double")
+    def score(peer, n):
+        if peer in bad:
+            raise ValueError("bad row")
+        return float(n)
+    return lambda rows: rows.withColumn("score", score("peer_ip", "n_in"))
+
+
+def test_one_bad_row_costs_one_error_row(spark, tmp_path):
+    from floodlens.streaming.detector import LiveDetector
+    rows = spark.createDataFrame([("s", 1.0, f"p{i}", 2.0, float(i % 2), 1.0) for i in range(60)],
+                                 "session string, window_start double, peer_ip string, now double, n_in double, bytes_in double")
+    live = LiveDetector(spark, str(tmp_path / "a"), FEATURES, failing({"p7", "p31"}))
+    live.process(rows, 0)
+    assert {r["peer_ip"] for r in live.table("errors").collect()} == {"p7", "p31"}
+    assert {r["peer_ip"] for r in live.scores().collect()} == {f"p{i}" for i in range(60)} - {"p7", "p31"}
+    live.process(rows.where("peer_ip = 'p3'"), 1)  # and the stream goes on
+    assert live.scores().count() == 59
+
+
+def test_a_scorer_that_always_fails_gives_error_rows(spark, tmp_path, monkeypatch):
+    from floodlens.streaming import detector
+    monkeypatch.setattr(detector, "MAX_FAILURES", 5)
+    rows = spark.createDataFrame([("s", 1.0, f"p{i}", 2.0, 1.0, 1.0) for i in range(40)],
+                                 "session string, window_start double, peer_ip string, now double, n_in double, bytes_in double")
+    live = detector.LiveDetector(spark, str(tmp_path / "b"), FEATURES, failing({f"p{i}" for i in range(40)}))
+    live.process(rows, 0)
+    assert live.table("errors").count() == 40 and live.table("errors").select("peer_ip").distinct().count() == 40
+    assert live.scores().count() == 0
