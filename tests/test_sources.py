@@ -203,3 +203,70 @@ def test_missing_sequence_is_an_error(spark):
     s = spark.createDataFrame([("s", 1.0, "a", 3)], "session string, window_start double, peer_ip string, length int")
     with pytest.raises(Exception, match="no sequence for window"):
         L.attach_sequences(w, s).collect()
+
+
+def mixed_capture(n=400, order="<", seed=3):
+    """Frames of many lengths; some carry bytes that look like a chain of record headers, one is very long."""
+    import random
+    rng, frames = random.Random(seed), []
+    for i in range(n):
+        body = rng.randbytes(rng.choice([20, 60, 200, 900]))
+        if i % 17 == 0:
+            fake = struct.pack(order + "4I", 1_500_000_000, 5, 40, 40) + b"\7" * 40
+            body = fake * 12
+        if i == 150:
+            body = rng.randbytes(30_000)
+        frames.append((1_500_000_000 + i, i, body))
+    return pcap(frames, order, 0xA1B2C3D4)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("split_bytes", [700, 5_000, 60_000])
+def test_a_file_in_ranges_gives_the_rows_of_one(spark, tmp_path, order, split_bytes):
+    (tmp_path / "a_1").write_bytes(mixed_capture(order=order)[:-7])     # its last record is cut off
+    (tmp_path / "a_2").write_bytes(mixed_capture(90, order, 4))
+    (tmp_path / "a_3").write_bytes(as_pcapng())
+    paths = [str(tmp_path / f"a_{i}") for i in (1, 2, 3)]
+    key = lambda df: sorted(map(tuple, df.select("file_idx", "frame_seq", "linktype", "ts_us", "origlen", F.md5("data")).collect()))
+    whole, cut = C.read_captures(spark, paths, "t"), C.read_captures(spark, paths, "t", split_bytes=split_bytes)
+    assert whole.count() == 399 + 90 + 6 and key(cut) == key(whole)
+    assert cut.rdd.getNumPartitions() > whole.rdd.getNumPartitions()
+    assert key(cut.where("file_idx = 1")) == key(whole.where("file_idx = 1"))
+
+
+def test_misled_ranges_are_walked_again(spark, tmp_path):
+    from floodlens.sources import splits
+    path = tmp_path / "a"
+    path.write_bytes(mixed_capture())
+    size, (begins, beyond, frames) = path.stat().st_size, splits.walked(str(path), 24, 4000, 24)
+    assert begins == 24 and splits.walked(str(path), beyond, size, beyond)[2] == 400 - frames
+    with open(path, "rb") as f:
+        form = C.PcapFormat(f.read(24))
+        # from inside the made-up headers the search is misled, so `located` has something to mend
+        looks = {splits.first_record(f, form, at, size) for at in range(24, size, 701)}
+        f.seek(24)
+        true = set()
+        for data, offsets in form.blocks(f, 24):
+            true |= {24 + o for o in offsets}
+    assert looks - true - {size}
+
+
+def test_conditions_are_pushed_into_the_reader(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"p_{i}").write_bytes(as_pcap())
+    frames = C.read_captures(spark, [str(tmp_path)], "t")
+    low = 1_500_000_002_250_000
+    late = frames.where((F.col("ts_us") >= low) & (F.col("file_idx").isin(0, 2)) & (F.col("linktype") == 1) & (F.length("data") > 0))
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert "length(data" in plan and "ts_us#" in plan
+    kept = [line for line in plan.splitlines() if " Filter " in line]
+    assert len(kept) == 1 and "ts_us" not in kept[0] and "file_idx" not in kept[0] and "linktype" not in kept[0]
+    assert late.count() == 8 and late.rdd.getNumPartitions() == 2
+    reader = C.CaptureReader({"paths": str(tmp_path), "session": "t"})
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual
+    left = list(reader.pushFilters([GreaterThanOrEqual(("ts_us",), low), EqualTo(("session",), "t"), EqualTo(("file_idx",), 1)]))
+    assert [type(f).__name__ for f in left] == ["EqualTo"] and left[0].attribute == ("session",)
+    parts = reader.partitions()
+    assert [p.file_idx for p in parts] == [1]
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 4  # frames that leave the reader
+    assert frames.where("file_idx = 9").count() == 0
