@@ -5,12 +5,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floodlens.operators.adaptive import slot_index
-from floodlens.operators.ordering import arrival_number, running_max
+from floodlens.operators.ordering import arrival_number, next_event, running_max, sums_before
 from floodlens.operators.sizing import broadcast_if_small
 from floodlens.schemas import WINDOW_SECONDS
 
 KEYS = ["session", "peer_ip"]
 SLOT_BITS = 12
+# Stretches of time that one task sweeps
+BUCKET_SECONDS = 4096
+BUCKET_US = BUCKET_SECONDS * 1_000_000
 
 ACTIONS = T.StructType([
     T.StructField("session", T.StringType()),
@@ -95,26 +98,53 @@ def attack_seconds(packets: DataFrame, victim: str, attackers: DataFrame) -> Dat
 
 def block_overlap(attacks: DataFrame, blocks: DataFrame) -> DataFrame:
     """Per attack: seconds covered by blocks (overlaps counted twice), whether one was active at
-    its start, and the first one that began during it."""
-    mine = blocks.select("session", F.col("peer_ip").alias("ip"), "ts", (F.col("ts") + F.col("seconds")).alias("until"))
-    joined = attacks.join(mine, ["session", "ip"], "left")
-    during = (F.col("ts") > F.col("start_ts")) & (F.col("ts") <= F.col("end_ts"))
-    overlap = F.greatest(F.lit(0.0), F.least("until", "end_ts") - F.greatest("ts", "start_ts"))
-    return joined.groupBy("session", "ev_order").agg(
-        F.coalesce(F.sum(F.when(F.col("ts").isNotNull(), overlap)), F.lit(0.0)).alias("covered"),
-        F.coalesce(F.max(((F.col("ts") <= F.col("start_ts")) & (F.col("until") > F.col("start_ts")))), F.lit(False)).alias("active"),
-        F.min(F.when(during, F.col("ts"))).alias("first"))
+    its start, and the first one that began during it.
+
+    Blocked time up to t is the sum of t - begin over the blocks begun minus that of t - end over the
+    ended ones, so counts and sums at an attack's two ends tell what lies between: no attack meets a block.
+    """
+    whole = lambda c: F.round(F.col(c) * 1e6).cast("bigint")
+    mine = blocks.select("session", F.col("peer_ip").alias("ip"), whole("ts").alias("at"),
+                         F.round((F.col("ts") + F.col("seconds")) * 1e6).cast("bigint").alias("until"))
+    key, one = ["session", "ip"], F.lit(1).cast("bigint")
+    begun = mine.select(*key, "at", one.alias("n_begun"), F.col("at").cast("decimal(38,0)").alias("sum_begun"))
+    ended = mine.select(*key, F.col("until").alias("at"), one.alias("n_ended"), F.col("until").cast("decimal(38,0)").alias("sum_ended"))
+    events = begun.unionByName(ended, allowMissingColumns=True)
+    values = ["n_begun", "sum_begun", "n_ended", "sum_ended"]
+    ends = attacks.select(*key, "ev_order", F.explode(F.array(
+        F.struct(F.lit("start").alias("end"), whole("start_ts").alias("at")),
+        F.struct(F.lit("stop").alias("end"), whole("end_ts").alias("at")),
+        # up to and with the start: whole numbers smaller than the next
+        F.struct(F.lit("upto").alias("end"), (whole("start_ts") + 1).alias("at")))).alias("e")).select(*key, "ev_order", "e.*")
+    found = sums_before(ends, events, key, "at", values, BUCKET_US)
+    blocked = F.col("at") * (F.col("n_begun") - F.col("n_ended")) - F.col("sum_begun") + F.col("sum_ended")
+    at = lambda name, value: F.max(F.when(F.col("end") == name, value))
+    cover = found.groupBy("session", "ev_order").agg(
+        ((at("stop", blocked) - at("start", blocked)).cast("double") / 1e6).alias("covered"),
+        (at("upto", F.col("n_begun") - F.col("n_ended")) > 0).alias("active"))
+    starts = attacks.select(*key, "ev_order", whole("start_ts").alias("at"), whole("end_ts").alias("stop"))
+    first = next_event(starts, mine.select(*key, "at"), key, "at", "first", BUCKET_US).select(
+        "session", "ev_order", F.when(F.col("first") <= F.col("stop"), F.col("first") / 1e6).alias("first"))
+    return cover.join(first, ["session", "ev_order"])
 
 
 def delivered(attacks: DataFrame, seconds: DataFrame) -> DataFrame:
-    """Per attack (with `first`, the first block): packets while it ran, and those before the block."""
-    inside = (F.col("sec") >= F.floor("start_ts")) & (F.col("sec") < F.floor("end_ts") + 1)
-    joined = attacks.join(seconds, ["session", "ip"], "left").where(inside | F.col("sec").isNull())
-    got = joined.groupBy("session", "ev_order").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("got"),
-        F.coalesce(F.sum(F.when(F.col("sec") < F.floor("first"), F.col("n"))), F.lit(0)).alias("before"))
-    return attacks.select("session", "ev_order").join(got, ["session", "ev_order"], "left").select(
-        "session", "ev_order", F.coalesce("got", F.lit(0)).alias("got"), F.coalesce("before", F.lit(0)).alias("before"))
+    """Per attack (with `first`, the first block): packets while it ran, and those before the block.
+
+    Both are differences of each host's running packet count at the attack's ends and at the block.
+    """
+    key, floor = ["session", "ip"], lambda c: F.floor(c).cast("bigint")
+    stop = floor("end_ts") + 1
+    points = attacks.select(*key, "ev_order", F.explode(F.array(
+        F.struct(F.lit("start").alias("end"), floor("start_ts").alias("at")),
+        F.struct(F.lit("stop").alias("end"), F.greatest(stop, floor("start_ts")).alias("at")),
+        F.struct(F.lit("first").alias("end"), F.greatest(F.least(F.coalesce(floor("first"), floor("start_ts")), stop), floor("start_ts"))
+                 .alias("at")))).alias("e")).select(*key, "ev_order", "e.*")
+    counts = seconds.select(*key, F.col("sec").cast("bigint").alias("at"), F.col("n").cast("bigint").alias("n"))
+    found = sums_before(points, counts, key, "at", ["n"], BUCKET_SECONDS)
+    at = lambda name: F.max(F.when(F.col("end") == name, F.col("n")))
+    return found.groupBy("session", "ev_order").agg(
+        (at("stop") - at("start")).alias("got"), (at("first") - at("start")).alias("before"))
 
 
 def attack_report(attacks: DataFrame, blocks: DataFrame, seconds: DataFrame) -> DataFrame:

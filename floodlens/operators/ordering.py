@@ -98,6 +98,41 @@ def running_sums(df: DataFrame, keys: list[str], value: str, sums: dict[str, str
     return out.drop("_bucket", *[f"_r_{c}" for c in sums], *[f"_o_{c}" for c in sums])
 
 
+def _swept(queries: DataFrame, events: DataFrame, keys: list[str], at: str, values: list[str], width: int) -> DataFrame:
+    """Queries (`_event` 0) and events (1) in one table, with the bucket of `at` that they fall into."""
+    both = queries.withColumns({"_event": F.lit(0), **{v: F.lit(None).cast(events.schema[v].dataType) for v in values}}).unionByName(
+        events.select(*keys, at, *values, F.lit(1).alias("_event")), allowMissingColumns=True)
+    return both.withColumn("_bucket", F.floor(F.col(at) / width))
+
+
+def sums_before(queries: DataFrame, events: DataFrame, keys: list[str], at: str, values: list[str], width: int) -> DataFrame:
+    """`queries` with, for every value, the sum over the events of the same keys whose whole number `at` is smaller.
+
+    Both are swept once in the order of `at`, in buckets of `width`; buckets hand on one row each. So the cost is
+    that of queries and events together, however many of them share a key.
+    """
+    both = _swept(queries, events, keys, at, values, width)
+    inside = W.partitionBy(*keys, "_bucket").orderBy(at, "_event").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = both.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values]).select(
+        *keys, "_bucket", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values])
+    local = both.withColumns({f"_r_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}).where("_event = 0")
+    out = local.join(totals, [*keys, "_bucket"])
+    return out.select(*queries.columns, *[(F.col(f"_r_{v}") + F.col(f"_o_{v}")).alias(v) for v in values])
+
+
+def next_event(queries: DataFrame, events: DataFrame, keys: list[str], at: str, out: str, width: int) -> DataFrame:
+    """`queries` with the smallest `at` of an event of the same keys that is greater than their own, or null."""
+    both = _swept(queries, events.withColumn(out, F.col(at)), keys, at, [out], width)
+    inside = W.partitionBy(*keys, "_bucket").orderBy(F.col(at).desc(), "_event").rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy(*keys).orderBy(F.col("_bucket").desc()).rowsBetween(W.unboundedPreceding, -1)
+    least = both.groupBy(*keys, "_bucket").agg(F.min(out).alias("_least")).select(
+        *keys, "_bucket", F.min("_least").over(later).alias("_later"))
+    # descending, and at equal places queries come first: what stands before a query is greater
+    local = both.withColumn("_next", F.min(out).over(inside)).where("_event = 0")
+    return local.join(least, [*keys, "_bucket"]).select(*queries.columns, F.coalesce("_next", "_later").alias(out))
+
+
 def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:
     """Linearly interpolated quantile; only counts per distinct value are ordered."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))

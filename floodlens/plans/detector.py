@@ -381,10 +381,27 @@ def q_event_feed(spark, sf):
     return D.event_feed(detector_log(spark, sf, stored_scores(spark, sf)), NOW, order="peer").select("event", "ts", "peer", "windows", "version")
 
 
-@query("attack_overlay", f"""WITH {ATTACKS_SQL}
-SELECT ip, attack, rate, start_ts, end_ts FROM attacks WHERE end_ts >= {NOW - 120} AND start_ts <= {NOW}""")
+SCHEDULE_SQL = f"""sched AS (SELECT 's1' AS session, o_orderkey AS round, '10.0.0.' || (10 + o_custkey % 16) AS ip,
+    o_orderpriority AS attack, o_orderstatus AS rate, CAST(t AS DOUBLE) AS start_ts, CAST(t + 5 + o_orderkey % 20 AS DOUBLE) AS end_ts
+  FROM (SELECT *, CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) % 1000003 % 360 AS t FROM orders))"""
+
+
+def order_schedule(spark, sf):
+    """One attack per order: its customer picks the host, its date the time."""
+    o = table(spark, sf, "orders")
+    t = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) % 1000003 % 360
+    return o.select(F.lit("s1").alias("session"), F.col("o_orderkey").alias("round"),
+                    F.concat(F.lit("10.0.0."), (10 + F.col("o_custkey") % 16).cast("string")).alias("ip"),
+                    F.col("o_orderpriority").alias("attack"), F.col("o_orderstatus").alias("rate"),
+                    t.cast("double").alias("start_ts"), (t + 5 + F.col("o_orderkey") % 20).cast("double").alias("end_ts"),
+                    F.col("o_orderkey").alias("ev_order"))
+
+
+@query("attack_overlay", f"""WITH {SCHEDULE_SQL}
+SELECT CAST(round AS BIGINT) AS round, ip, attack, rate, start_ts, end_ts FROM sched WHERE end_ts >= {NOW - 120} AND start_ts <= {NOW}""")
 def q_attack_overlay(spark, sf):
-    return D.attack_overlay(attacks(spark), NOW).select("ip", "attack", "rate", "start_ts", "end_ts")
+    return D.attack_overlay(order_schedule(spark, sf), NOW).select(
+        F.col("round").cast("bigint").alias("round"), "ip", "attack", "rate", "start_ts", "end_ts")
 
 
 TOTALS_SQL = f"""{DECIDED}, {LOG_SQL}
@@ -503,9 +520,31 @@ def q_delivered(spark, sf):
     return G.delivered(a, secs).select(F.col("ev_order").alias("round"), F.col("got").alias("delivered"))
 
 
+@query("delivered_orders", f"""WITH {pk_sql()}, {SCHEDULE_SQL},
+secs AS (SELECT session, src AS ip, ts_us // 1000000 AS sec, count(*) AS n FROM pk WHERE dst = '{SERVER}' GROUP BY ALL)
+SELECT CAST(a.round AS BIGINT) AS round, CAST(coalesce(sum(n), 0) AS BIGINT) AS got,
+  CAST(coalesce(sum(CASE WHEN sec < floor(a.start_ts + 3.5) THEN n END), 0) AS BIGINT) AS before
+FROM sched a LEFT JOIN secs s ON s.session = a.session AND s.ip = a.ip AND sec >= floor(start_ts) AND sec < floor(end_ts) + 1 GROUP BY a.round""")
+def q_delivered_orders(spark, sf):
+    """Thousands of overlapping attacks on sixteen hosts, each cut 3.5 s after its start."""
+    a = order_schedule(spark, sf).withColumn("first", F.col("start_ts") + 3.5)
+    secs = G.attack_seconds(packets(spark, sf), SERVER, a)
+    return G.delivered(a, secs).select(F.col("ev_order").cast("bigint").alias("round"), "got", "before")
+
+
+@query("block_overlap_orders", f"""{DECIDED}, {SCHEDULE_SQL}, b AS (SELECT *, ts + seconds AS until FROM actions WHERE event = 'block')
+SELECT CAST(a.round AS BIGINT) AS round,
+  round(CAST(coalesce(sum(CASE WHEN ts IS NOT NULL THEN greatest(least(until, end_ts) - greatest(ts, start_ts), 0) END), 0) AS DOUBLE), 6) AS covered,
+  coalesce(bool_or(ts <= start_ts AND until > start_ts), false) AS active, min(CASE WHEN ts > start_ts AND ts <= end_ts THEN ts END) AS first
+FROM sched a LEFT JOIN b ON b.session = a.session AND b.peer_ip = a.ip GROUP BY a.round""")
+def q_block_overlap_orders(spark, sf):
+    found = G.block_overlap(order_schedule(spark, sf), materialise(actions(spark, sf).where("event = 'block'"), "blocks"))
+    return found.select(F.col("ev_order").cast("bigint").alias("round"), F.round("covered", 6).alias("covered"), "active", "first")
+
+
 @query("block_overlap", f"""{REPORT_SQL} SELECT CAST(round AS INT) AS round, round(CAST(covered AS DOUBLE), 6) AS covered, active, first FROM cover""")
 def q_block_overlap(spark, sf):
-    d = G.block_overlap(attacks(spark), actions(spark, sf).where("event = 'block'"))
+    d = G.block_overlap(attacks(spark), materialise(actions(spark, sf).where("event = 'block'"), "blocks"))
     return d.select(F.col("ev_order").alias("round"), F.round("covered", 6).alias("covered"), "active", "first")
 
 

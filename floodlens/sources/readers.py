@@ -25,10 +25,11 @@ def session_hosts(sessions: DataFrame, role: str) -> DataFrame:
 
 
 def read_attacks(spark: SparkSession, path) -> DataFrame:
-    """Attack schedules; an empty one is legal. The order of an event is its place in the file:
-    schedules are written in start order, so round and start stand for it."""
+    """Attack schedules; an empty one is legal. `ev_order` is an event's place: its file, the file's split, the row in it."""
     rows = spark.read.schema(ATTACKS).option("header", True).csv(path)
-    return rows.withColumn("ev_order", F.struct("round", "start_ts", "ip"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                     F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", place.alias("ev_order"))
 
 
 def catalog_attacks(spark: SparkSession, session: str, attacker: str, utc_offset: int, rows) -> DataFrame:

@@ -195,3 +195,20 @@ def test_hybrid_calibrates_flags_novel_and_retrains(spark, tmp_path):
     again = LiveDetector(spark, str(tmp_path), LIVE, rule, fit, base, hybrid=True, calibrate_s=5.0, adaptive=True, retrain_s=6.0).resume()
     assert again.version == 1 and again.novelty.threshold == pytest.approx(d.novelty.threshold)
     assert (again.first, again.next_retrain, again.pool_batch) == (d.first, d.next_retrain, d.pool_batch)
+
+
+def test_swept_sums_and_next_events_equal_all_pairs(spark):
+    import random
+    from floodlens.operators.ordering import next_event, sums_before
+    rng = random.Random(2)
+    events = [(rng.choice("ab"), rng.randrange(-30, 60), rng.randrange(1, 9)) for _ in range(150)]
+    queries = [(rng.choice("abc"), i, rng.randrange(-40, 70)) for i in range(120)]
+    e = spark.createDataFrame(events, "k string, at long, n long")
+    q = spark.createDataFrame(queries, "k string, id long, at long")
+    for width in (7, 1000):
+        sums = {r.id: r.n for r in sums_before(q, e, ["k"], "at", ["n"], width).collect()}
+        after = {r.id: r.t for r in next_event(q, e.select("k", "at"), ["k"], "at", "t", width).collect()}
+        for k, i, at in queries:
+            mine = [(t, n) for key, t, n in events if key == k]
+            assert sums[i] == sum(n for t, n in mine if t < at)
+            assert after[i] == min((t for t, _ in mine if t > at), default=None)

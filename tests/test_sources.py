@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from floodlens.functions.columns import local_epoch
 from floodlens.operators import labeling as L
-from floodlens.schemas import FEATURES, FRAMES
+from floodlens.schemas import ATTACKS, FEATURES, FRAMES
 from floodlens.sources import capture as C
 from floodlens.sources import readers as R
 from floodlens.sources import sinks as K
@@ -270,3 +270,22 @@ def test_conditions_are_pushed_into_the_reader(spark, tmp_path):
     assert [p.file_idx for p in parts] == [1]
     assert sum(b.num_rows for p in parts for b in reader.read(p)) == 4  # frames that leave the reader
     assert frames.where("file_idx = 9").count() == 0
+
+
+def test_events_keep_the_order_of_their_file(spark, tmp_path):
+    from floodlens.operators.labeling import label_windows
+    head = ",".join(ATTACKS.names)
+    line = lambda ip, label, start: f"s,1,a,{ip},x,{label},low,1,0,80,{start},{start + 9}"
+    wide = [line(f"10.0.{i // 200}.{i % 200}", 1, 1000 + i) for i in range(2000)]
+    # of two events of one round and start, the later line wins, whatever their addresses
+    (tmp_path / "events.csv").write_text("\n".join([head, line("10.9.9.9", 2, 50), line("10.9.9.9", 5, 50), line("10.9.9.9", 3, 50), *wide]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = R.read_attacks(spark, str(tmp_path / "events.csv"))
+        assert rows.rdd.getNumPartitions() > 2
+        assert [r.label for r in rows.orderBy("ev_order").collect()][:3] == [2, 5, 3]
+        assert [r.start_ts for r in rows.orderBy("ev_order").collect()][3:] == [1000.0 + i for i in range(2000)]
+        windows = spark.createDataFrame([("s", 52.0, "10.9.9.9")], "session string, window_start double, peer_ip string")
+        assert label_windows(windows, rows).first()["label"] == 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
