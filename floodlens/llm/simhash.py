@@ -2,8 +2,8 @@
 
 Nulls, empties, ties: a null text counts as empty; a text without words has fingerprint zero and is linked like any
 other. Equal fingerprints are one node, so any number of copies costs one node. Rows with a null doc_id take part; a
-component whose ids are all null has a null component_id. Repeated rows are kept (`near_duplicates`) or reduced to one
-(`drop_near_duplicates`). Very long texts are hashed in blocks. Other columns of the input are never read.
+component whose ids are all null has a null component_id. Repeated rows are kept (`near_duplicates`) or reduced to one,
+where a row is its doc_id and text (`drop_near_duplicates`). Very long texts are hashed in blocks. Other columns of the input are never read.
 """
 from __future__ import annotations
 
@@ -180,12 +180,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, seed: in
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = 4) -> DataFrame:
-    """The rows of `docs`, one for each component: the one with the smallest doc_id; its columns are unchanged.
-
-    Among rows that repeat that doc_id one stays.
+    """The rows of `docs`, one for each component: the one with the smallest doc_id (null ids last; of rows of one
+    doc_id the one of the smallest text hash). Its columns are unchanged. Rows are told apart by doc_id and text, so
+    documents that share an id, or have none, are kept or dropped by their own texts; equal rows become one.
     """
-    found = materialise(near_duplicates(docs, width, max_bits), "near")
-    extra = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first"))
-    lost = extra.where("not first").select(F.col("doc_id").alias("__lost"))
-    kept = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__lost")), "left_anti")
-    return kept if extra.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    hashed = materialise(docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text"),
+                                     fingerprint_column(F.col("text"), width).alias("fp")), "simhash")
+    nodes = hashed.groupBy("fp").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__text")).alias("first"))
+    roots = linked_components(fingerprint_links(nodes.select("fp"), max_bits)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    rooted = nodes.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    stays = rooted.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.__id").alias("__id_stays"), F.col("first.__text").alias("__text_stays"))
+    kept = docs.join(materialise(stays, "stays"), docs["doc_id"].eqNullSafe(F.col("__id_stays")) & (F.xxhash64(docs["text"]) == F.col("__text_stays")), "left_semi")
+    if hashed.groupBy("__id", "__text").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return kept
+    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
