@@ -8,6 +8,7 @@ from floodlens.operators.adaptive import slot_index
 from floodlens.operators.ordering import arrival_number, next_event, running_max, sums_before
 from floodlens.operators.sizing import broadcast_if_small
 from floodlens.schemas import WINDOW_SECONDS
+from floodlens.session import materialise
 
 KEYS = ["session", "peer_ip"]
 SLOT_BITS = 12
@@ -140,7 +141,8 @@ def delivered(attacks: DataFrame, seconds: DataFrame) -> DataFrame:
         F.struct(F.lit("stop").alias("end"), F.greatest(stop, floor("start_ts")).alias("at")),
         F.struct(F.lit("first").alias("end"), F.greatest(F.least(F.coalesce(floor("first"), floor("start_ts")), stop), floor("start_ts"))
                  .alias("at")))).alias("e")).select(*key, "ev_order", "e.*")
-    counts = seconds.select(*key, F.col("sec").cast("bigint").alias("at"), F.col("n").cast("bigint").alias("n"))
+    # the sweep reads its table twice, the packets only once
+    counts = materialise(seconds.select(*key, F.col("sec").cast("bigint").alias("at"), F.col("n").cast("bigint").alias("n")), "seconds")
     found = sums_before(points, counts, key, "at", ["n"], BUCKET_SECONDS)
     at = lambda name: F.max(F.when(F.col("end") == name, F.col("n")))
     return found.groupBy("session", "ev_order").agg(
