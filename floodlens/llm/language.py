@@ -3,7 +3,8 @@
 Texts are lower-cased, every run of non-letters becomes one space. ORDER - 1 spaces stand before
 each text and one at its end, so no gram spans two texts. Counts of the
 highest order are gathered from all learning documents; the lower orders follow from them as continuation counts.
-Each language's probabilities stand in sorted arrays of 64-bit gram hashes. A text is given the language of the lowest
+All languages' probabilities stand in sorted arrays of 64-bit gram hashes, in files of hash ranges that the tasks
+read: no gram is left out, and the model passes neither the driver nor a closure. A text is given the language of the lowest
 cross-entropy for each character; a text whose cross-entropy exceeds what nearly all learning documents of that
 language have is marked as rejected.
 
@@ -18,13 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, functions as F
 
-from floodlens.session import materialise
+from floodlens.session import materialise, shared_dir
 
 ORDER = 4
-#: Grams a language's model may hold at most: what is sent to the tasks is bounded by languages x this x 16 bytes.
-MODEL_GRAMS = 2_000_000
+#: Rows of a model file, and bytes of model files a Python worker keeps; files beyond that are read again when needed.
+FILE_ROWS, KEPT_BYTES = 2_000_000, 256 << 20
+#: Distinct grams looked up at once.
+_LOOKUP = 1 << 17
 _DENSE = 1 << 24
 _BLOCK = 1 << 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -134,7 +139,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
         _count_batches(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER, model_grams: int = MODEL_GRAMS) -> DataFrame:
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, p, rest): interpolated probabilities, and the weight left to the next lower order after that context.
 
     `gram` of length l < order carries the continuation probability of its last character; `rest` is the back-off
@@ -169,54 +174,114 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, model_grams: int = MODEL_G
     model = out[0]
     for part in out[1:]:
         model = model.unionByName(part)
-    model = materialise(model.groupBy("lang", "gram").agg(F.max("p").alias("p"), F.max("rest").alias("rest")), "model")
-    if (model.groupBy("lang").count().agg(F.max("count")).first()[0] or 0) > model_grams:
-        # longer and rarer grams go first; their probability then comes from the lower order
-        edge = model.groupBy("lang").agg(F.percentile_approx(F.coalesce("p", F.lit(1.0)) - F.length("gram"), F.lit(1.0) - F.lit(float(model_grams)) / F.count("*")).alias("edge"))
-        model = materialise(model.join(edge, "lang").where((F.coalesce("p", F.lit(1.0)) - F.length("gram") >= F.col("edge")) | (F.length("gram") < 2)).drop("edge"), "model")
-    return model
+    return materialise(model.groupBy("lang", "gram").agg(F.max("p").alias("p"), F.max("rest").alias("rest")), "model")
+
+
+def _gram_hashes(grams: pd.Series) -> np.ndarray:
+    """Signed hashes of gram strings of any lengths."""
+    size = grams.str.len().to_numpy()
+    out = np.zeros(len(grams), np.int64)
+    for n in np.unique(size):
+        own = np.flatnonzero(size == n)
+        codes = np.frombuffer("".join(grams.iloc[own]).encode("utf-32-le"), "<u4").reshape(len(own), n)
+        out[own] = hashes(codes).view(np.int64)
+    return out
+
+
+def write_model(model: DataFrame, name: str = "language_model") -> tuple[list[str], list[tuple[str, int, int]]]:
+    """Writes the model into files of hash ranges, sorted by language and hash: (languages, (path, least, largest hash)).
+
+    Every gram is kept, however many there are; the driver sees one row for each language and each file.
+    """
+    langs = sorted(r[0] for r in model.select("lang").distinct().collect())
+    hashed = F.pandas_udf(lambda grams: pd.Series(_gram_hashes(grams)), "long")
+    place = (F.array_position(F.array(*[F.lit(x) for x in langs]).cast("array<string>"), F.col("lang")) - 1).cast("int")
+    rows = model.select(place.alias("lang"), hashed("gram").alias("h"), F.log("p").cast("float").alias("p"), F.log("rest").cast("float").alias("rest"))
+    path = shared_dir(model.sparkSession, name)
+    rows.repartitionByRange(model.count() // FILE_ROWS + 1, "h").sortWithinPartitions("lang", "h").write.parquet(path)
+    files = model.sparkSession.read.parquet(path).groupBy(F.input_file_name().alias("path")).agg(F.min("h"), F.max("h")).collect()
+    return langs, sorted(tuple(r) for r in files)
+
+
+_kept: dict[str, tuple] = {}
+
+
+def _read_file(path: str) -> tuple:
+    """A model file's columns; those read last stay in the worker, up to KEPT_BYTES."""
+    if path in _kept:
+        _kept[path] = _kept.pop(path)
+        return _kept[path]
+    system, inner = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    read = pq.read_table(inner, filesystem=system, columns=["lang", "h", "p", "rest"])
+    columns = tuple(c.to_numpy() for c in read.columns)
+    while _kept and sum(c.nbytes for own in (*_kept.values(), columns) for c in own) > KEPT_BYTES:
+        del _kept[next(iter(_kept))]
+    _kept[path] = columns
+    return columns
 
 
 class Scorer:
-    """Sorted hash arrays of every language, and cross-entropies of texts."""
-
-    def __init__(self, model: pd.DataFrame, order: int):
-        self.order, self.langs, self.tables = order, sorted(model["lang"].unique()), {}
-        for lang in self.langs:
-            own = model[model["lang"] == lang]
-            size = own["gram"].str.len()
-            for n in range(order + 1):
-                rows = own[size == n]
-                h = hashes(self._matrix(rows["gram"], n))
-                place = np.argsort(h)
-                self.tables[lang, n] = (h[place], np.log(rows["p"].to_numpy(np.float64)[place]).astype(np.float32),
-                                        np.log(rows["rest"].to_numpy(np.float64)[place]).astype(np.float32))
-
-    @staticmethod
-    def _matrix(grams: pd.Series, n: int) -> np.ndarray:
-        if not n or not len(grams):
-            return np.zeros((len(grams), n), np.uint32)
-        return np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").reshape(-1, n)
-
-    def _find(self, lang: str, h: np.ndarray, n: int, which: int) -> np.ndarray:
-        table = self.tables[lang, n]
-        if not len(table[0]):
-            return np.full(len(h), np.nan, np.float32)
-        at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
-        return np.where(table[0][at] == h, table[which][at], np.nan)
+    """Sorted hash arrays of every language, in memory or in files, and cross-entropies of texts."""
+
+    def __init__(self, model: pd.DataFrame | tuple, order: int):
+        self.order = order
+        if isinstance(model, tuple):
+            self.langs, self.files = model
+            return
+        self.langs = sorted(model["lang"].unique())
+        lang = np.searchsorted(np.array(self.langs, object), model["lang"].to_numpy(object)) if len(model) else np.zeros(0, np.int64)
+        h = _gram_hashes(model["gram"]) if len(model) else np.zeros(0, np.int64)
+        by = np.lexsort((h, lang))
+        self.own = tuple(x[by] for x in (lang, h, *[np.log(model[c].to_numpy(np.float64)).astype(np.float32) for c in ("p", "rest")]))
+        self.files = [(None, np.iinfo(np.int64).min, np.iinfo(np.int64).max)]
+
+    def _find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities and back-off weights of sorted hashes, a row for each language; unknown ones are NaN."""
+        p = np.full((len(self.langs), len(wanted)), np.nan, np.float32)
+        rest = p.copy()
+        for path, least, largest in self.files:
+            a, b = np.searchsorted(wanted, least), np.searchsorted(wanted, largest, "right")
+            if a == b:
+                continue
+            lang, h, own_p, own_rest = self.own if path is None else _read_file(path)
+            cuts = np.searchsorted(lang, np.arange(len(self.langs) + 1))
+            for j, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if s < e:
+                    at = np.minimum(np.searchsorted(h[s:e], wanted[a:b]), e - s - 1)
+                    hit = h[s:e][at] == wanted[a:b]
+                    p[j, a:b] = np.where(hit, own_p[s:e][at], p[j, a:b])
+                    rest[j, a:b] = np.where(hit, own_rest[s:e][at], rest[j, a:b])
+        return p, rest
+
+    def _log_ps(self, grams: np.ndarray) -> np.ndarray:
+        """A row for each language: log probability of each gram's last character after the others.
+
+        The longest known gram counts, after the back-off weights of the contexts that were too long.
+        """
+        k, m = self.order, len(grams)
+        tails = [hashes(grams[:, k - n:]).view(np.int64) for n in range(k, 0, -1)]
+        heads = [hashes(grams[:, k - n:k - 1]).view(np.int64) for n in range(k, 0, -1)]
+        wanted, place = np.unique(np.concatenate(tails + heads), return_inverse=True)
+        place = place.reshape(2 * k, m)
+        p, rest = self._find(wanted)
+        out = np.zeros((len(self.langs), m))
+        for j in range(len(self.langs)):
+            open_ = np.arange(m)
+            for level in range(k):
+                found = p[j, place[level, open_]]
+                known = ~np.isnan(found)
+                out[j, open_[known]] += found[known]
+                open_ = open_[~known]
+                out[j, open_] += np.nan_to_num(rest[j, place[k + level, open_]], nan=0.0)
+            out[j, open_] += np.log(1 / 65536.0)
+        return out
+
+    def log_ps(self, grams: np.ndarray) -> np.ndarray:
+        parts = [self._log_ps(grams[at:at + _LOOKUP]) for at in range(0, len(grams), _LOOKUP)]
+        return np.concatenate(parts, axis=1) if parts else np.zeros((len(self.langs), 0))
 
     def log_p(self, lang: str, grams: np.ndarray) -> np.ndarray:
-        """Log probability of each gram's last character after the others: the longest known gram, and back-off weights."""
-        out, open_ = np.zeros(len(grams)), np.arange(len(grams))
-        for n in range(self.order, 0, -1):
-            tail = grams[open_, self.order - n:]
-            p = self._find(lang, hashes(tail), n, 1)
-            known = ~np.isnan(p)
-            out[open_[known]] += p[known]
-            open_, tail = open_[~known], tail[~known]
-            out[open_] += np.nan_to_num(self._find(lang, hashes(tail[:, :-1]), n - 1, 2), nan=0.0)
-        out[open_] += np.log(1 / 65536.0)
-        return out
+        return self.log_ps(grams)[self.langs.index(lang)]
 
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """A row for each text and a column for each language, and the texts' scored characters."""
@@ -234,8 +299,7 @@ class Scorer:
             place = None if dense else np.searchsorted(found, grams)
             cut = np.flatnonzero(np.diff(owner, prepend=owner[0] - 1))
             rows = _grams(found, symbols, k)
-            for j, lang in enumerate(self.langs):
-                p = self.log_p(lang, rows).astype(np.float32)  # alike for every way below
+            for j, p in enumerate(self.log_ps(rows).astype(np.float32)):  # alike for every way below
                 if dense:
                     table = np.zeros(base ** k, np.float32)
                     table[found] = p
@@ -250,7 +314,7 @@ _SHARPNESS = 50
 _SCORED = "doc_id long, learned boolean, lang_pred string, score double, cross_entropy double"
 
 
-def _score_batches(model: pd.DataFrame, order: int):
+def _score_batches(model: tuple, order: int):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model, order)
         for batch in batches:
@@ -277,7 +341,7 @@ def identify_languages(docs: DataFrame, learns: Column, order: int = ORDER, reje
     `learns` marks the documents to learn from. `score` is the language's share of the likelihood of 50 characters.
     `rejected`: above the cross-entropy that all but `reject_share` of the learning documents predicted alike keep to.
     """
-    model = kneser_ney(gram_counts(docs.where(learns), order), order).toPandas()  # bounded by languages x MODEL_GRAMS
+    model = write_model(kneser_ney(gram_counts(docs.where(learns), order), order))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learns & F.col("lang").isNotNull(), F.lit(False)).alias("learned")).mapInPandas(
         _score_batches(model, order), _SCORED)
     scored = materialise(scored, "languages")

@@ -255,3 +255,17 @@ def test_language_of_a_text_is_the_same_in_any_batch(spark, monkeypatch):
         assert (alone[0] > 0).all() and alone[0, 0] != alone[0, 1]
         assert np.array_equal(alone, scorer.cross_entropies(texts)[0])
         assert np.array_equal(alone[::-1], scorer.cross_entropies(texts[::-1])[0])
+
+
+def test_language_model_in_files_equals_one_in_memory(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null")
+    model = language.kneser_ney(language.gram_counts(docs))
+    texts = [r.text for r in docs.select("text").limit(40).collect()] + [None, "", "x", "日本語の文"]
+    whole = language.Scorer(model.toPandas(), language.ORDER).cross_entropies(texts)
+    monkeypatch.setattr(language, "FILE_ROWS", model.count() // 5)
+    langs, files = language.write_model(model)
+    assert len(files) > 3 and sum(spark.read.parquet(p).count() for p, _, _ in files) == model.count()
+    monkeypatch.setattr(language, "KEPT_BYTES", 1)
+    monkeypatch.setattr(language, "_LOOKUP", 1000)
+    parts = language.Scorer((langs, files), language.ORDER).cross_entropies(texts)
+    assert np.allclose(whole[0], parts[0], atol=1e-4) and (whole[1] == parts[1]).all()
