@@ -6,19 +6,20 @@ virtual time 1, when every source has reached its target and the whole budget is
 cut at that point. Sorted by virtual finish time, the mix holds the target weights in each of its prefixes.
 
 Nulls, empties, ties: a null text has no words; a null source is a source of its own, the last; documents without words
-are in the mix but take nothing; an empty table gives an empty mix; rows that repeat a doc_id are documents of their
-own, ordered by size. Columns of the input other than those used are left as they are.
+are in the mix but take nothing; an empty table gives an empty mix; rows that repeat or lack a doc_id are documents of
+their own, ordered by size and text. A text may be very long: it is counted and cut whole, and moves twice. Other
+columns of the input are left as they are, whatever their names.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from floodlens.llm.common import SPACE, WORD, with_ordinal, word_count
 from floodlens.session import materialise
 
-#: Rows wanted under one digest prefix of a source's shuffled order.
-CHUNK_ROWS = 4096
+#: Rows wanted in one range of the shuffled order; a row is a few numbers.
+CHUNK_ROWS = 1 << 20
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3) -> DataFrame:
@@ -44,38 +45,57 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repea
     return sources.select("source", "source_size", target.alias("target"))
 
 
-def _queued(docs: DataFrame, weights: tuple[int, ...], repeats: int, seed: int) -> DataFrame:
-    """(doc_id, source, size, source_size, target, before): words of the source's shuffled order ahead of each document."""
-    sized = materialise(docs.select("doc_id", "source", word_count().alias("size"), F.md5(F.concat_ws(
-        ":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("__d")), "sized")
+def _queued(sized: DataFrame, weights: tuple[int, ...], repeats: int, seed: int) -> DataFrame:
+    """`sized` with source_size, target and `before`: words of the source's shuffled order ahead of each document.
+
+    The order is cut into ranges over all its keys, the row number last, so neither one id nor one text on many rows
+    makes a range large. Sums run inside ranges, and over one row for each source and range.
+    """
     targets = materialise(source_targets(sized, weights, repeats), "targets")
-    most = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    digits = 0
-    while most > CHUNK_ROWS * 16 ** digits:
-        digits += 1
-    chunk = sized.withColumn("__c", F.substring("__d", 1, digits) if digits else F.lit(""))
-    earlier = W.partitionBy("source").orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
-    starts = chunk.groupBy("source", "__c").agg(F.sum("size").alias("__n")).select(
-        F.col("source").alias("__s"), F.col("__c").alias("__k"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    inside = W.partitionBy("source", "__c").orderBy("__d", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = chunk.withColumn("__before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__c") == F.col("__k")))
-    targets = targets.withColumnRenamed("source", "__t")
-    return placed.join(targets, F.col("source").eqNullSafe(F.col("__t"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("__start") + F.col("__before")).alias("before"))
-
-
-def _served(size, rest):
-    return F.greatest(F.lit(0), F.least(size, rest)).cast("long")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    order = ["source", "digest", "doc_id", "size", "text_hash", "row"]
+    ranges = sized.count() // CHUNK_ROWS + 1
+    placed = materialise(sized.withColumn("digest", digest).repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn(
+        "part", F.spark_partition_id()).drop("digest").withColumn("at", F.monotonically_increasing_id()), "placed")
+    earlier = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy("source", "part").agg(F.sum("size").alias("n")).select(
+        F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    inside = W.partitionBy("source", "part").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    targets = targets.withColumnRenamed("source", "t")
+    return placed.join(targets, F.col("source").eqNullSafe(F.col("t"))).select(
+        *sized.columns, "source_size", "target", (F.col("start") + F.col("inside")).alias("before"))
+
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """One written row for each of `docs`, with a number of its own."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source",
+                                   word_count().alias("size"), F.xxhash64("text").alias("text_hash"), *more), "sized")
+
+
+def _schedule(queued: DataFrame, repeats: int) -> DataFrame:
+    """(row, doc_id, taken, finish): what is served up to virtual time 1, in the order of virtual finish times.
+
+    A document that is being served at virtual time 1 gives the words up to there. As the targets share the budget, the
+    cut at virtual time 1 is the cut at the budget.
+    """
+    copies = queued.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    copies = copies.withColumn("ahead", F.col("copy") * F.col("source_size") + F.col("before"))
+    left = F.floor("target") - F.col("ahead")
+    copies = copies.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long"))
+    served = copies.where((F.col("taken") > 0) | ((F.col("size") == 0) & (F.col("copy") == 0))).select("row", "doc_id", "text_hash", "taken", F.coalesce(
+        (F.col("ahead") + F.col("size")) / F.nullif("target", F.lit(0.0)), F.lit(0.0)).alias("finish"))
+    order = ["finish", "doc_id", "text_hash", "row"]
+    return materialise(served.repartitionByRange(*order).sortWithinPartitions(*order).drop("text_hash"), "schedule")
 
 
 def mix_shares(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 9) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): the words the mix takes of each document, repeats counted."""
-    queued = _queued(docs, weights, repeats, seed)
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.floor(F.col("target")) - rounds * F.col("source_size") - F.col("before")
-    return queued.select("doc_id", "size", "source_size", "target",
-                         (rounds * F.col("size") + _served(F.col("size"), rest)).cast("long").alias("taken"))
+    """(doc_id, size, source_size, target, taken): the words that the schedule of the mix takes of each document."""
+    queued = materialise(_queued(_sized(docs), weights, repeats, seed), "queued")
+    taken = _schedule(queued, repeats).groupBy("row").agg(F.sum("taken").alias("taken"))
+    return queued.join(taken, "row", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 9) -> DataFrame:
@@ -83,34 +103,18 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats
 
     The columns are those of `docs`; a cut text keeps its first words, and n_chars, where there is one, follows it.
     """
-    queued = _queued(docs, weights, repeats, seed)
-    size, whole = F.col("size"), F.col("source_size")
-    copies = queued.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn(
-        "__ahead", F.col("__copy") * whole + F.col("before"))
-    copies = copies.withColumn("__taken", _served(size, F.floor("target") - F.col("__ahead")))
-    wanted = copies.where((F.col("__taken") > 0) | ((size == 0) & (F.col("__copy") == 0))).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__taken",
-        F.coalesce((F.col("__ahead") + size) / F.nullif("target", F.lit(0.0)), F.lit(0.0)).alias("__finish"))
-    # rows that repeat an id and a size share their copies evenly
-    same = ["__id", "__source", "__size"]
-    wanted = wanted.groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("__finish", "__taken"))).alias("__copies"))
-    twins = docs.withColumn("__n", word_count())
-    repeated = materialise(twins.groupBy("doc_id", "source", "__n").count().where("count > 1"), "twins")
-    if not repeated.isEmpty():
-        place = W.partitionBy("doc_id", "source", "__n").orderBy(F.xxhash64("text"))
-        twins = twins.withColumn("__twin", F.row_number().over(place) - 1).withColumn(
-            "__twins", F.count("*").over(W.partitionBy("doc_id", "source", "__n")))
-    else:
-        twins = twins.withColumn("__twin", F.lit(0)).withColumn("__twins", F.lit(1))
-    mixed = twins.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-                       & (F.col("__n") == F.col("__size")))
-    mixed = mixed.select("*", F.posexplode("__copies").alias("__at", "__c")).where(F.col("__at") % F.col("__twins") == F.col("__twin"))
-    spaced = F.regexp_extract_all("text", F.lit(f"{SPACE}*{WORD}"), F.lit(0))
-    cut = F.array_join(F.slice(spaced, F.lit(1), F.col("__c.__taken").cast("int")), "")
-    mixed = mixed.withColumn("text", F.when(F.col("__c.__taken") < F.col("__n"), cut).otherwise(F.col("text")))
+    rows = _sized(docs, F.struct("*").alias("doc"))
+    schedule = _schedule(_queued(rows.drop("doc"), weights, repeats, seed), repeats)
+    mixed = rows.select("row", "size", "doc").join(schedule, "row")
+    spaced = F.regexp_extract_all("doc.text", F.lit(f"{SPACE}*{WORD}"), F.lit(0))
+    whole = F.col("taken") >= F.col("size")
+    text = F.when(whole, F.col("doc.text")).otherwise(F.array_join(F.slice(spaced, F.lit(1), F.col("taken").cast("int")), ""))
+    columns = {c: F.col(f"doc.`{c}`").alias(c) for c in docs.columns}
+    columns["text"] = text.alias("text")
     if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.when(F.col("__c.__taken") < F.col("__n"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return mixed.repartitionByRange("__c.__finish", "doc_id").sortWithinPartitions("__c.__finish", "doc_id").select(*docs.columns)
+        columns["n_chars"] = F.when(whole, F.col("doc.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+    order = ["finish", "doc_id", "row"]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns.values())
 
 
 SHARES_SQL = """

@@ -195,6 +195,24 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mix_shares(docs.limit(0)).count() == mixing.mix_documents(docs.limit(0)).count() == 0
 
 
+def test_mix_of_rows_that_share_or_lack_ids(spark, monkeypatch):
+    """Every row is a document of its own: equal rows, one id on many texts, and many rows without an id."""
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 16)
+    rows = [(None, f"text {i % 20} without an id", "en", "a", i) for i in range(60)] + [(7, "w " * (i % 5), "en", "a", i) for i in range(60)]
+    rows += [(8, "the same row", "en", "b", 1)] * 30 + [(i, "some more words here", "en", None, i) for i in range(100, 120)]
+    docs = spark.createDataFrame(rows, DOCS).select("*", F.lit(1).alias("row"), F.lit(2).alias("taken"), F.lit(3).alias("finish"))
+    shares = mixing.mix_shares(docs).collect()
+    assert len(shares) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in shares)
+    given = Counter((r.doc_id, r.size, r.taken) for r in shares if r.doc_id != 8)
+    mix = mixing.mix_documents(docs)
+    assert mix.columns == docs.columns
+    mixed = mix.collect()
+    assert sum(len(r.text.split()) for r in mixed) == sum(r.taken for r in shares)
+    for i in (None, 7, 8):
+        assert sum(len(r.text.split()) for r in mixed if r.doc_id == i) == sum(r.taken for r in shares if r.doc_id == i)
+    assert given == Counter((r.doc_id, r.size, r.taken) for r in mixing.mix_shares(docs.repartition(5)).collect() if r.doc_id != 8)
+
+
 def plain_base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
