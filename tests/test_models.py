@@ -45,6 +45,15 @@ def test_learners_separate_the_classes(spark, rows):
     assert eff["nodes"] > 10 and eff["windows_per_s"] > 0
 
 
+def test_fits_use_all_cores_however_few_partitions_the_rows_have(spark, rows, monkeypatch):
+    seen = []
+    monkeypatch.setattr(M.Pipeline, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()))
+    one = rows.coalesce(1).withColumn("y", (F.col("y") > 0).cast("int"))
+    M.fit_forest(one, COLS)
+    M.fit_boosted(one, COLS)
+    assert min(seen) >= spark.sparkContext.defaultParallelism > 1
+
+
 def test_group_folds_keep_groups_whole_and_mixed(spark, rows):
     d = R.stratified_group_kfold(rows.withColumn("label", F.col("y")), ["session", "round"], 4)
     assert d.groupBy("session", "round").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
