@@ -89,21 +89,26 @@ def _distance(mean: str = "m", cov: str = "c", dims: tuple[str, ...] = STATISTIC
     return steps, reduce(lambda a, b: a + b, [F.col(f"__z{i}") * F.col(f"__z{i}") for i in range(p)])
 
 
-def _join_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _join_groups(rows: DataFrame, groups: DataFrame, how: str = "left") -> DataFrame:
     groups = groups.withColumnsRenamed({"lang": "__lang", "source": "__source"})
-    return rows.join(groups, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left").drop("__lang", "__source")
+    return rows.join(groups, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), how).drop("__lang", "__source")
 
 
-def _with_distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows with `d2` from their group's estimate. The factor depends on the group alone, so it is made there."""
+def _factored(groups: DataFrame) -> DataFrame:
+    """Groups with the Cholesky factor of their covariance. It is written with them: a filter on a distance that still
+    contained it would be pushed down through all its steps, each put in place of its name wherever that occurs."""
+    return reduce(lambda df, s: df.withColumn(*s), [s for s in _distance()[0] if s[0].startswith("__l")], groups)
+
+
+def _with_distance(rows: DataFrame, groups: DataFrame, how: str = "left") -> DataFrame:
+    """Rows with `d2` from their group's factored estimate."""
     steps, square = _distance()
-    factor = reduce(lambda df, s: df.withColumn(*s), [s for s in steps if s[0].startswith("__l")], groups)
-    out = reduce(lambda df, s: df.withColumn(*s), [s for s in steps if s[0].startswith("__z")], _join_groups(rows, factor))
+    out = reduce(lambda df, s: df.withColumn(*s), [s for s in steps if s[0].startswith("__z")], _join_groups(rows, groups, how))
     return out.select(*rows.columns, square.alias("d2"))
 
 
 def robust_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Location (m0..) and covariance (c0_0..) of every (lang, source) with enough rows, one row for each group."""
+    """Location (m0..), covariance (c0_0..) and its factor (__l0_0..) of every (lang, source) with enough rows, one row for each."""
     p, keys = len(STATISTICS), ["lang", "source"]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     middle = rows.groupBy(*keys).agg(F.count("*").alias("__n"), *[F.percentile_approx(d, [0.25, 0.5, 0.75]).alias(f"__q{i}") for i, d in enumerate(STATISTICS)])
@@ -112,16 +117,15 @@ def robust_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS,
     groups = middle.select(*keys, *[F.get(f"__q{i}", F.lit(1)).alias(f"m{i}") for i in range(p)],
                            *[(spread[i] * spread[i] if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in pairs])
     for _ in range(steps):
-        groups = materialise(groups, "estimate")
-        near = _with_distance(rows, groups).where("d2 is not null")
+        near = _with_distance(rows, materialise(_factored(groups), "estimate"), "inner")
         edge = near.groupBy(*keys).agg(F.percentile_approx("d2", share, 1000).alias("__edge"))
-        inner = _join_groups(near, edge).where(F.col("d2") <= F.col("__edge"))
+        inner = _join_groups(near, edge, "inner").where(F.col("d2") <= F.col("__edge"))
         sums = inner.groupBy(*keys).agg(F.count("*").alias("__n"), *[F.avg(d).alias(f"m{i}") for i, d in enumerate(STATISTICS)],
                                         *[F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"c{i}_{j}") for i, j in pairs])
         # the inner share of a normal cloud is too narrow by this factor (5 dimensions, share 0.75)
         groups = sums.select(*keys, *[f"m{i}" for i in range(p)], *[
             (F.col(f"c{i}_{j}") * 1.66 + F.lit(FLOOR if i == j else 0.0)).alias(f"c{i}_{j}") for i, j in pairs])
-    return materialise(groups, "estimate")
+    return materialise(_factored(groups), "estimate")
 
 
 def quality_verdicts(docs: DataFrame, cut: float = CUT, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS) -> DataFrame:

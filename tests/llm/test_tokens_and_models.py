@@ -13,6 +13,7 @@ from sentencepiece import sentencepiece_model_pb2
 
 from floodlens.llm import language, mixing, pieces, quality, shards, toxicity
 from floodlens.llm.queries import PIECES
+from floodlens.session import materialise
 from test_duplicates import DOCS, ODD, odd
 
 SMALL = "/root/testdata/sf0.001/documents.parquet"
@@ -243,6 +244,14 @@ def test_outliers_of_each_group_are_rejected(spark):
     assert all(r.kept <= (not r.base_failed) for r in out.values())
 
 
+def test_quality_filters_on_distances_stay_small(spark):
+    """A factor inside the filtered plan is put in place of its name at each use: code beyond 64 KB, compiled on the driver."""
+    counts = quality.base_statistics(spark.read.parquet(SMALL))
+    rows = materialise(counts.select("*", *[c.alias(n) for n, c in quality._vector().items()]))
+    near = quality._with_distance(rows, quality.robust_estimates(rows, steps=1, min_rows=5)).where("d2 is not null and d2 < 9")
+    assert near.count() and "sqrt" not in near._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_quality_of_odd_rows(spark):
     rows = quality.quality_verdicts(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(r.base_failed for r in rows if r.n_words < 50) and quality.quality_verdicts(odd(spark).limit(0)).count() == 0
