@@ -25,12 +25,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
+from floodlens.llm.common import with_ordinal
 from floodlens.session import materialise
 
 #: category -> condition on the label columns, in the order of the chain.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
-#: Bounds of what the models are fitted on: labelled rows, those of the lowest seeded hashes, and features.
-SAMPLE_ROWS, FEATURES, FOLDS = 20_000, 1024, 5
+#: Size of the models: features, the most telling ones over all labelled rows; and parts for predictions out of fold.
+FEATURES, FOLDS = 1024, 5
+#: Features that a task counts, or words that it remembers, before it passes them on or starts anew.
+REMEMBERED = 200_000
 #: Ridge penalty of the scaled features; recall out of fold on the learning rows decided between settings (README).
 RIDGE = 3e-2
 #: Share of the labelled rows outside a category that may reach its threshold out of fold, and the least threshold.
@@ -39,37 +42,51 @@ STEMS = (4, 5, 6)
 _WORDS = re.compile(r"\w+")
 
 
-def features_of(text: str | None) -> set[str]:
-    """Distinct lower-cased words, and as `stem*` their first 4, 5 and 6 characters."""
-    words = set(_WORDS.findall((text or "").lower()))
-    return words.union(*[{f"{w[:n]}*" for w in words if len(w) > n} for n in STEMS])
+def word_features(word: str) -> tuple[str, ...]:
+    """The word, and as `stem*` its first 4, 5 and 6 characters."""
+    return (word, *[f"{word[:n]}*" for n in STEMS if len(word) > n])
 
 
-def _counts(categories: list[str]):
+def words_of(text: str | None) -> set[str]:
+    return set(_WORDS.findall((text or "").lower()))
+
+
+def _counts(categories: list[str], most: int = REMEMBERED):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, np.ndarray] = {}
+        number: dict[str, int] = {}  # feature -> its row of `seen`
+        known: dict[str, tuple[int, ...]] = {}  # word -> rows of its features
+        seen = np.zeros((0, 1 + len(categories)), np.int64)
 
         def table():
-            return pd.DataFrame([(f, *n.tolist()) for f, n in seen.items()], columns=["feature", "n", *categories])
+            return pd.DataFrame({"feature": pd.Series(list(number), dtype=object), **{c: seen[:, i] for i, c in enumerate(("n", *categories))}})
         for batch in batches:
-            for text, row in zip(batch["text"], batch[categories].to_numpy(np.int64)):
-                one = np.concatenate([[1], row])
-                for f in features_of(text):
-                    if f in seen:
-                        seen[f] += one
-                    else:
-                        seen[f] = one.copy()
-                if len(seen) > 500_000:
-                    yield table()
-                    seen.clear()
+            marks, at = batch[categories].to_numpy(np.int64), []
+            for text in batch["text"]:
+                found: set[int] = set()
+                for w in words_of(text):
+                    own = known.get(w)
+                    if own is None:
+                        own = known[w] = tuple(number.setdefault(f, len(number)) for f in word_features(w))
+                    found.update(own)
+                at.append(np.fromiter(found, np.int64, len(found)))
+            seen = np.concatenate([seen, np.zeros((len(number) - len(seen), seen.shape[1]), np.int64)])
+            flat, row = np.concatenate([*at, np.zeros(0, np.int64)]), np.repeat(np.arange(len(at)), [len(x) for x in at])
+            seen[:, 0] += np.bincount(flat, minlength=len(seen))
+            for i in range(len(categories)):
+                seen[:, i + 1] += np.bincount(flat[marks[row, i] > 0], minlength=len(seen))
+            if len(number) > most:
+                yield table()
+                number.clear()
+                known.clear()
+                seen = seen[:0]
         yield table()
     return count
 
 
-def choose_features(sample: DataFrame, categories: list[str], most: int) -> list[str]:
+def choose_features(labelled: DataFrame, categories: list[str], most: int) -> list[str]:
     """The features most unevenly spread between a category's two classes, as many for each category."""
-    total = sample.agg(F.count("*"), *[F.sum(c) for c in categories]).first()
-    counts = sample.select("text", *categories).mapInPandas(_counts(categories), "feature string, n long, " + ", ".join(f"{c} long" for c in categories))
+    total = labelled.agg(F.count("*"), *[F.sum(c) for c in categories]).first()
+    counts = labelled.select("text", *categories).mapInPandas(_counts(categories), "feature string, n long, " + ", ".join(f"{c} long" for c in categories))
     counts = materialise(counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", *categories)]).where("n >= 3"), "features")
     chosen: set[str] = set()
     for i, c in enumerate(categories):
@@ -91,19 +108,24 @@ class Chain:
     def add(self, weights: np.ndarray, intercept: float):
         self.models.append((np.asarray(weights), intercept))
 
-    def predict(self, texts) -> np.ndarray:
-        n, remembered = len(self.place), {}
-        out = np.zeros((len(texts), len(self.categories)))
-        place = self.place
-        for i, text in enumerate(texts):
+    def places(self, texts) -> Iterator[set[int]]:
+        """Of every text, the numbers of the features that are in it."""
+        place, remembered = self.place, {}
+        for text in texts:
             found: set[int] = set()
-            for w in set(_WORDS.findall((text or "").lower())):
+            for w in words_of(text):
                 own = remembered.get(w)
                 if own is None:
-                    if len(remembered) > 500_000:
+                    if len(remembered) > REMEMBERED:
                         remembered.clear()
-                    own = remembered[w] = tuple(place[f] for f in (w, *(f"{w[:k]}*" for k in STEMS if len(w) > k)) if f in place)
+                    own = remembered[w] = tuple(place[f] for f in word_features(w) if f in place)
                 found.update(own)
+            yield found
+
+    def predict(self, texts) -> np.ndarray:
+        n = len(self.place)
+        out = np.zeros((len(texts), len(self.categories)))
+        for i, found in enumerate(self.places(texts)):
             at = np.fromiter(found, np.int64, len(found))
             for c, (weights, intercept) in enumerate(self.models):
                 z = intercept + weights[at].sum() + weights[n:n + c] @ out[i, :c]
@@ -152,40 +174,45 @@ def _edge(rows: DataFrame, category: str, clean_share: float) -> float:
     n = clean.count()
     if not n:
         return 0.5
-    above = int(clean_share * n)  # of at most SAMPLE_ROWS rows
-    last = clean.orderBy(F.col(f"p_{category}").desc()).select(f"p_{category}").limit(above + 1).collect()[-1][0]
+    own = clean.select(F.col(f"p_{category}").alias("p"))
+    last = with_ordinal(own, [F.col("p").desc()], "at").where(F.col("at") == int(clean_share * n)).first()["p"]
     return max(LEAST, float(np.nextafter(last, 2.0)))
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, sample_rows: int = SAMPLE_ROWS,
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES,
               features: int = FEATURES, folds: int = FOLDS, clean_share: float = CLEAN_SHARE) -> Chain:
-    """Fits the chain on at most `sample_rows` labelled rows; no other data than these is read into the models.
+    """Fits the chain on all labelled rows: features are counted, models fitted and thresholds read over every one of them.
 
     Each category's threshold comes from predictions out of fold, never from a model that saw the row; equal texts
     share a fold.
     """
     names = list(categories)
     marks = labels.select("doc_id", *[F.expr(f"cast({c} as int)").alias(n) for n, c in categories.items()]).dropna()
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = materialise(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(marks), "doc_id"), "sample")  # at most sample_rows ids
-    if sample.isEmpty():
+    labelled = materialise(docs.select("doc_id", "text").where("text is not null").join(marks, "doc_id"), "labelled")
+    if labelled.isEmpty():
         chain = Chain(names, [])
         for i, name in enumerate(names):
             chain.add(np.zeros(i), -500.0)
             chain.thresholds[name] = 0.5
         return chain
-    chain = Chain(names, choose_features(sample, names, features))
-    place = chain.place
+    chain = Chain(names, choose_features(labelled, names, features))
+    unfitted = docs.sparkSession.sparkContext.broadcast(chain)  # at most FEATURES names
+
+    @F.pandas_udf("array<int>")
+    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([sorted(found) for found in unfitted.value.places(texts.tolist())], dtype=object)
+
+    size = len(chain.place)
 
     @F.udf(VectorUDT())
-    def marked(text):  # once for each of at most sample_rows texts; all that follows is sparse and in the JVM
-        at = sorted(place[f] for f in features_of(text) if f in place)
-        return SparseVector(len(place), at, [1.0] * len(at))
-    rows = materialise(sample.select(marked("text").alias("x"), F.pmod(F.xxhash64("text"), F.lit(folds)).alias("fold"), *names), "featured")
+    def sparse(at):  # of the numbers alone; all that follows is sparse and in the JVM
+        return SparseVector(size, at, [1.0] * len(at))
+    rows = materialise(labelled.select(sparse(marked("text")).alias("x"), F.pmod(F.xxhash64("text"), F.lit(folds)).alias("fold"), *names), "featured")
     for i, name in enumerate(names):
-        weights, intercept, _ = _fit(rows, len(place), names[:i], name)
+        weights, intercept, _ = _fit(rows, size, names[:i], name)
         chain.add(weights, intercept)
-        rows = _out_of_fold(rows, folds, len(place), names[:i], name)
+        rows = _out_of_fold(rows, folds, size, names[:i], name)
         chain.thresholds[name] = _edge(rows, name, clean_share)
     return chain
 

@@ -296,3 +296,27 @@ def test_language_model_in_files_equals_one_in_memory(spark, monkeypatch):
     monkeypatch.setattr(language, "_LOOKUP", 1000)
     parts = language.Scorer((langs, files), language.ORDER).cross_entropies(texts)
     assert np.allclose(whole[0], parts[0], atol=1e-4) and (whole[1] == parts[1]).all()
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """One word marks the toxic rows among the many, another those of the last tenth; a sample by hash would lose rows."""
+    seen = {}
+    monkeypatch.setattr(toxicity, "_fit", lambda rows, size, earlier, category: seen.setdefault(category, rows.count()) and (np.zeros(size + len(earlier)), -2.0, None))
+    docs = spark.range(30_000).selectExpr("id as doc_id", "concat('plain words ', if(id % 10 = 0, 'vile ', ''), if(id >= 27000, 'late', 'early')) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id < 27000 as int) as quality", "cast(doc_id % 10 = 0 as int) as toxic")
+    chain = toxicity.fit_chain(docs, labels)
+    assert seen == {"low_quality": 30_000, "toxic": 30_000} and {"vile", "late", "early"} <= set(chain.place)
+
+
+def test_feature_counts_do_not_depend_on_what_a_task_remembers():
+    import pandas as pd
+    texts = ["Vile words, vile deeds", None, "", "deeds of old", "vileness"]
+    batches = [pd.DataFrame({"text": texts[:2], "toxic": [1, 0]}), pd.DataFrame({"text": texts[2:], "toxic": [0, 0, 1]})]
+    found = [pd.concat(toxicity._counts(["toxic"], most)(iter(batches))).groupby("feature").sum().to_dict("index") for most in (1, 1000)]
+    want = defaultdict(lambda: {"n": 0, "toxic": 0})
+    for text, toxic in zip(texts, (1, 0, 0, 0, 1)):
+        words = set(re.findall(r"\w+", (text or "").lower()))
+        for f in words | {w[:k] + "*" for w in words for k in (4, 5, 6) if len(w) > k}:
+            want[f]["n"] += 1
+            want[f]["toxic"] += toxic
+    assert found[0] == found[1] == want
