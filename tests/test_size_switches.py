@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from floodlens.operators import sampling
+from floodlens.operators import neighbours, sampling
 from floodlens.operators.labeling import label_windows
 from floodlens.operators.neighbours import nearest
 from floodlens.operators.novelty import novelty_fit
@@ -27,6 +27,32 @@ def test_novelty_is_the_same_on_both_paths(spark):
     assert scores[0] == scores[1] == scores[2] and len(set(scores[0].values())) == 9
 
 
+@pytest.mark.parametrize("max_broadcast", [0, 50_000])
+def test_copies_leave_out_themselves_and_not_each_other(spark, max_broadcast):
+    rows = [(f"{i:02d}", [float(i // 8), 0.0], i) for i in range(24)]
+    table = spark.createDataFrame(rows, "qid string, vec array<double>, label int")
+    out = nearest(table, table.selectExpr("qid as rid", "vec", "label"), 3, True, max_broadcast=max_broadcast, pivots=2, block_rows=8)
+    for r in out.collect():
+        copies = [q for q, vec, _ in rows if vec == r.vec and q != r.qid]
+        assert [n.rid for n in r.neighbours] == copies[:3]
+
+
+def test_routes_and_exact_pairs_are_made_in_small_batches(spark, monkeypatch):
+    """Equal distances all over make most pairs candidates, and every cell is in reach."""
+    rng = np.random.default_rng(5)
+    x = np.sign(rng.normal(size=(300, 8)))
+    want = neighbours.nearest_in_blocks(x, x, 4)
+    monkeypatch.setattr(neighbours, "BATCH_VALUES", 64)
+    got = neighbours.nearest_in_blocks(x, x, 4, block=37)
+    assert all((a == b).all() for a, b in zip(want, got))
+    rows = [(f"{i:03d}", [float(v) for v in x[i]], 0) for i in range(len(x))]
+    table = spark.createDataFrame(rows, "qid string, vec array<double>, label int")
+    refs = table.selectExpr("qid as rid", "vec", "label")
+    found = [sorted((r.qid, [n.rid for n in r.neighbours]) for r in nearest(table, refs, 4, True, **o).collect())
+             for o in ({}, {"max_broadcast": 0, "pivots": 9, "block_rows": 40}, {"max_broadcast": 0})]
+    assert found[0] == found[1] == found[2]
+
+
 def test_nearest_names_its_own_queries(spark):
     refs = spark.createDataFrame([(str(i), [float(i), 0.0], i) for i in range(30)], "rid string, vec array<double>, label int")
     queries = spark.createDataFrame([("same", [x, 1.0]) for x in (0.1, 7.2, 7.2, 28.0)], "qid string, vec array<double>")
