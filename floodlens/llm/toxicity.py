@@ -34,6 +34,10 @@ CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 FEATURES, FOLDS = 1024, 5
 #: Features that a task counts, or words that it remembers, before it passes them on or starts anew.
 REMEMBERED = 200_000
+#: Rows that a task holds in a fit: each pass of a fit moves one gradient for each task, however few rows it has.
+ROWS_A_TASK = 20_000
+#: Bits for each label, and most bits (8 MB), of the map of hashed ids that keeps unlabelled texts out of the exchange.
+BITS_A_LABEL, MOST_BITS = 16, 1 << 26
 #: Ridge penalty of the scaled features; recall out of fold on the learning rows decided between settings (README).
 RIDGE = 3e-2
 #: Share of the labelled rows outside a category that may reach its threshold out of fold, and the least threshold.
@@ -51,6 +55,12 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORDS.findall((text or "").lower()))
 
 
+def _distinct_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A text's words once each: its features are the same, and it is much shorter."""
+    for texts in batches:
+        yield texts.map(lambda text: " ".join(sorted(words_of(text))))
+
+
 def _counts(categories: list[str], most: int = REMEMBERED):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number: dict[str, int] = {}  # feature -> its row of `seen`
@@ -145,7 +155,7 @@ def _fit(rows: DataFrame, size: int, earlier: list[str], category: str):
     if not size + len(earlier):
         return np.zeros(0), math.log(hits / (n - hits)), None
     model = LogisticRegression(maxIter=50, regParam=RIDGE, standardization=True).fit(
-        _inputs(rows, size, earlier).select("features", F.col(category).cast("double").alias("label")))
+        _inputs(rows.coalesce(math.ceil(n / ROWS_A_TASK)), size, earlier).select("features", F.col(category).cast("double").alias("label")))
     return model.coefficients.toArray(), model.intercept, model
 
 
@@ -174,11 +184,23 @@ def _edge(rows: DataFrame, category: str, clean_share: float) -> float:
     n = clean.count()
     if not n:
         return 0.5
-    own = clean.select(F.col(f"p_{category}").alias("p"))
-    last = with_ordinal(own, [F.col("p").desc()], "at").where(F.col("at") == int(clean_share * n)).first()["p"]
+    own = clean.select(F.col(f"p_{category}").alias("p"), F.monotonically_increasing_id().alias("tie"))  # copies have equal p
+    last = with_ordinal(own, [F.col("p").desc(), F.col("tie")], "at").where(F.col("at") == int(clean_share * n)).first()["p"]
     return max(LEAST, float(np.nextafter(last, 2.0)))
 
 
+def _likely_labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """`docs` without most of the rows that `marks` lacks; none that it has is lost, and a join decides on the rest."""
+    if docs.schema["doc_id"].dataType != marks.schema["doc_id"].dataType:
+        return docs  # equal ids of two types have different hashes
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, min(MOST_BITS, BITS_A_LABEL * marks.count())))) + 1  # positions count from 1
+    bucket, bit = F.bitmap_bucket_number(at).alias("__bucket"), F.bitmap_bit_position(at)
+    maps = marks.groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias("__map"))  # 4 KB for each 32,768 bits
+    found = docs.withColumns({"__bucket": bucket, "__bit": bit}).join(F.broadcast(maps), "__bucket")
+    byte = F.conv(F.hex(F.substring("__map", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES,
               features: int = FEATURES, folds: int = FOLDS, clean_share: float = CLEAN_SHARE) -> Chain:
     """Fits the chain on all labelled rows: features are counted, models fitted and thresholds read over every one of them.
@@ -188,7 +210,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = C
     """
     names = list(categories)
     marks = labels.select("doc_id", *[F.expr(f"cast({c} as int)").alias(n) for n, c in categories.items()]).dropna()
-    labelled = materialise(docs.select("doc_id", "text").where("text is not null").join(marks, "doc_id"), "labelled")
+    fold = F.pmod(F.xxhash64("text"), F.lit(folds)).alias("fold")
+    words = _likely_labelled(docs.select("doc_id", "text").where("text is not null"), marks).select("doc_id", fold, F.pandas_udf(_distinct_words, "string")("text").alias("text"))
+    # labels grow with the documents, so they don't go through the driver whole; only words move, most of them of labelled texts
+    labelled = materialise(words.join(marks.hint("merge"), "doc_id"), "labelled")
     if labelled.isEmpty():
         chain = Chain(names, [])
         for i, name in enumerate(names):
@@ -208,7 +233,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = C
     @F.udf(VectorUDT())
     def sparse(at):  # of the numbers alone; all that follows is sparse and in the JVM
         return SparseVector(size, at, [1.0] * len(at))
-    rows = materialise(labelled.select(sparse(marked("text")).alias("x"), F.pmod(F.xxhash64("text"), F.lit(folds)).alias("fold"), *names), "featured")
+    rows = materialise(labelled.select(sparse(marked("text")).alias("x"), "fold", *names), "featured")
     for i, name in enumerate(names):
         weights, intercept, _ = _fit(rows, size, names[:i], name)
         chain.add(weights, intercept)

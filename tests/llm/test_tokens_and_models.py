@@ -308,6 +308,23 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert seen == {"low_quality": 30_000, "toxic": 30_000} and {"vile", "late", "early"} <= set(chain.place)
 
 
+def test_toxicity_moves_few_unlabelled_texts_and_no_gradient_for_each_small_part(spark, monkeypatch):
+    docs = spark.range(0, 40_000, 1, 40).selectExpr("if(id % 100 = 0, null, id - 20000) as doc_id", "concat('words of ', id) as text")
+    labels = docs.where("doc_id % 5 = 0").selectExpr("doc_id", "1 as quality", "cast(doc_id % 10 = 0 as int) as toxic")
+    kept = toxicity._likely_labelled(docs, labels.dropna())
+    assert kept.join(labels, "doc_id").count() == labels.where("doc_id is not null").count() and kept.count() < 0.35 * 40_000
+    monkeypatch.setattr(toxicity, "MOST_BITS", 1 << 10)  # a full map keeps all
+    assert toxicity._likely_labelled(docs, labels.dropna()).join(labels, "doc_id").count() == labels.where("doc_id is not null").count()
+    other = labels.selectExpr("cast(doc_id as string) as doc_id").dropna()
+    assert toxicity._likely_labelled(docs, other).count() == docs.count()
+    fitted = []
+    monkeypatch.setattr(toxicity, "_inputs", lambda rows, size, earlier: fitted.append(rows.rdd.getNumPartitions()) or rows.selectExpr("x as features", "toxic"))
+    rows = docs.selectExpr("cast(coalesce(doc_id, 0) % 10 = 0 as int) as toxic")
+    rows = rows.withColumn("x", F.udf(lambda v: toxicity.SparseVector(1, [0], [float(v)]), toxicity.VectorUDT())("toxic"))
+    toxicity._fit(rows, 1, [], "toxic")
+    assert fitted == [2]
+
+
 def test_feature_counts_do_not_depend_on_what_a_task_remembers():
     import pandas as pd
     texts = ["Vile words, vile deeds", None, "", "deeds of old", "vileness"]
