@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from floodlens.operators import evaluation as E
 from floodlens.operators import models as M
 from floodlens.operators import sampling as R
-from floodlens.operators.adaptive import adaptive_replay, in_streak
+from floodlens.operators.adaptive import adaptive_replay, in_streak, latest, pool_start, recent_pool
 from floodlens.operators.neighbours import knn_classify
 from floodlens.operators.novelty import novelty_fit
 
@@ -137,3 +137,48 @@ def test_adaptive_replay_learns_new_traffic(spark):
     assert late.agg(F.avg(F.col("static_sup").cast("double"))).first()[0] == 0.0
     assert late.agg(F.avg(F.col("adaptive_sup").cast("double"))).first()[0] == 1.0
     assert in_streak(res, "adaptive", "st").where("label = 4 AND st").count() == 109
+
+
+def test_fits_start_no_task_for_a_shuffle_partition(spark, rows):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert M.spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert M.spread(spark.range(9 * M.FIT_ROWS)).rdd.getNumPartitions() == 9
+
+
+def test_packets_parse_an_event_once_and_base_windows_leave_a_session_out(spark):
+    from floodlens.plans.labels import labelled
+    from floodlens.plans.packet_view import packets
+    sf = "/root/testdata/sf0.001"
+    plan = packets(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("get_json_object") == 1
+    short = ["n_in", "iat_std_in", "sport_entropy_in"]
+    some, every = labelled(spark, sf, 3, short, without="s1"), labelled(spark, sf, 3, short).where("session <> 's1'")
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.collect())) != []
+
+
+def test_replay_reads_the_versions_of_its_pool_only(spark):
+    out = [("s", float(t), f"c{p}", t // 10, "attack" if p == 2 and t % 20 < 6 else None if t % 9 == 0 else "benign")
+           for t in range(60) for p in range(3)]
+    w = spark.createDataFrame(out, "session string, window_start double, peer_ip string, version int, kind string")
+    counts = {(r["version"], r["kind"]): r["n"] for r in w.groupBy("version", "kind").agg(F.count("*").alias("n")).collect()}
+    starts = set()
+    for v in range(1, 6):
+        for kind in ("benign", "attack"):
+            starts.add(start := pool_start(counts, kind, v, 8))
+            some = latest(w.where(F.col("version").between(start, v - 1)), kind, 8)
+            every = recent_pool(w.where(F.col("version") < v), 8).where(F.col("kind") == kind)
+            assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.collect()))
+    assert len(starts) > 2
+
+
+def test_adaptive_replay_of_a_capture_shorter_than_its_calibration(spark):
+    w = spark.createDataFrame([("s", float(t), f"c{p}", 0, float(p), float(t % 7)) for t in range(40) for p in range(3)],
+                              "session string, window_start double, peer_ip string, label int, a double, b double")
+    base = spark.createDataFrame([(float(v), float(v), v % 2) for v in range(20)], "a double, b double, y int")
+    novelty = novelty_fit(w, ["a", "b"], ["session", "window_start", "peer_ip"])
+    res = adaptive_replay(w, base, novelty, lambda data: lambda d: d.withColumn("p", F.lit(0)), ["a", "b"], 60.0, 30.0, 60.0, 60.0)
+    assert res.count() == 0 and {"version", "adaptive", "static", "block"} <= set(res.columns)
